@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["source_queries", "kb_queries", "text_queries"]
+MODULES = ["source_queries", "kb_queries", "text_queries", "eval_queries", "matrix_queries"]
 
 
 def load() -> None:
