@@ -1,17 +1,28 @@
-"""Row numbers and running sums that hold when one group has a third of all rows."""
+"""Row numbers and running sums that hold when one group has a third of all rows.
+
+Group sizes are measured first, by one map-side combined count. Where all groups fit a task a plain
+window does the work. Otherwise the larger groups are cut at quantiles of their values.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from standout.session import cut_lineage
+
 HOT_ROWS = 2_000_000
 SLABS = 256
 
 
+def has_hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether a group has more rows than one task should sort."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    return (sizes.first()["n"] or 0) > hot_rows
+
+
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],
@@ -19,26 +30,37 @@ def ordinal(
     tie: Column,
     name: str,
     hot_rows: int = HOT_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` per group by value descending, then tie ascending (both numeric).
 
-    Groups up to ``hot_rows`` rows are numbered by a window. Larger ones are cut at quantiles of
-    their values into slabs, numbered inside the slabs, and shifted by the rows in earlier slabs.
-    A value heavy enough to fill a slab is a cut point itself, and is cut again along the tie column.
+    ``hot`` tells whether a group is larger than ``hot_rows``; it is measured where not given.
     """
     keys = list(keys)
     base = df.withColumn("_v", -value.cast("double")).withColumn("_t", tie)
-    hot = base.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    columns = [*df.columns, name]
+    if hot is None:
+        hot = has_hot_groups(df, keys, hot_rows)
     plain = Window.partitionBy(*keys).orderBy("_v", "_t")
-    cold = base.join(hot, keys, "left_anti").withColumn(name, F.row_number().over(plain).cast("long"))
+    if not hot:
+        return base.withColumn(name, F.row_number().over(plain).cast("long")).select(*columns)
+    base = cut_lineage(base)
+    large = base.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    cold = base.join(large, keys, "left_anti").withColumn(name, F.row_number().over(plain).cast("long"))
+    return cold.select(*columns).unionByName(_in_slabs(base.join(large, keys, "left_semi"), keys, name).select(*columns))
+
+
+def _in_slabs(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Number large groups slab by slab, shifted by the rows of earlier slabs.
 
+    A value heavy enough to fill a slab is a cut point itself, and is cut again along the tie column.
+    """
     at = F.array(*[F.lit(i / SLABS) for i in range(1, SLABS)])
-    warm = base.join(hot, keys, "left_semi")
-    cuts = warm.groupBy(*keys).agg(
+    cuts = rows.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_v", at, 100 * SLABS)).alias("_vc"),
         F.array_distinct(F.percentile_approx("_t", at, 100 * SLABS)).alias("_tc"),
     )
-    cut = warm.join(cuts, keys)
+    cut = rows.join(cuts, keys)
     on_cut = F.array_contains("_vc", F.col("_v"))
     below = F.size(F.filter("_vc", lambda c: c < F.col("_v")))
     cut = cut.withColumn("_s", below * 2 + on_cut.cast("int")).withColumn(
@@ -49,9 +71,7 @@ def ordinal(
     shift = cut.groupBy(*slab).agg(F.count("*").alias("_n"))
     shift = shift.select(*slab, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*slab).orderBy("_v", "_t")
-    warm = cut.join(shift, slab).withColumn(name, F.row_number().over(inside) + F.col("_before"))
-    columns = [*df.columns, name]
-    return cold.select(*columns).unionByName(warm.select(*columns))
+    return cut.join(shift, slab).withColumn(name, F.row_number().over(inside) + F.col("_before"))
 
 
 def running(
@@ -60,23 +80,24 @@ def running(
     rank: str,
     sums: dict[str, Column],
     chunk: int = 100_000,
+    hot_rows: int = HOT_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
-    """Running sums in rank order; ranks are cut into chunks so no window holds a whole hot group."""
+    """Running sums in rank order; ranks of hot groups are cut into chunks with carried totals."""
     keys = list(keys)
+    if hot is None:
+        hot = has_hot_groups(df, keys, hot_rows)
+    if not hot:
+        upto = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
     parts = df.withColumn("_c", F.floor((F.col(rank) - 1) / chunk))
-    parts = parts.withColumns({f"_x_{n}": c for n, c in sums.items()})
+    parts = cut_lineage(parts.withColumns({f"_x_{n}": c for n, c in sums.items()}))
     totals = parts.groupBy(*keys, "_c").agg(*[F.sum(f"_x_{n}").alias(f"_b_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *keys, "_c", *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums]
     )
     upto = Window.partitionBy(*keys, "_c").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.join(totals.where(F.col("_c") > 0), [*keys, "_c"], "left")
-    out = out.withColumns(
-        {n: F.sum(f"_x_{n}").over(upto) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in sums}
-    )
+    out = parts.join(totals, [*keys, "_c"])
+    out = out.withColumns({n: F.sum(f"_x_{n}").over(upto) + F.col(f"_b_{n}") for n in sums})
     return out.select(*df.columns, *sums)
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)

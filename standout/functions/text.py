@@ -62,16 +62,15 @@ def normalise_text(text: Column | str, collapse: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, " +", " ")) if collapse else out
 
 
-def ngram_window(text: Column | str, start: Column | str, end: Column | str, n: Column | int) -> Column:
-    """The mention with up to n blank-separated tokens on both sides."""
-    plain = normalise_text(text)
+def ngram_window(
+    text: Column | str, start: Column | str, end: Column | str, n: int, plain: bool = False
+) -> Column:
+    """The mention with up to n blank-separated tokens on both sides; ``plain`` text is normalised already."""
+    text = col(text) if plain else normalise_text(text)
     start, end = col(start), col(end)
-    n = n if isinstance(n, Column) else F.lit(n)
-    left = F.call_function("substring_index", sub(plain, 0, start), F.lit(" "), (-(n + 1)).cast("int"))
-    right = F.call_function(
-        "substring_index", F.substring(plain, (end + 1).cast("int"), F.length(plain)), F.lit(" "), (n + 1).cast("int")
-    )
-    return F.trim(F.concat(left, sub(plain, start, end - start), right))
+    left = F.substring_index(sub(text, 0, start), " ", -(n + 1))
+    right = F.substring_index(F.substring(text, (end + 1).cast("int"), F.length(text)), " ", n + 1)
+    return F.trim(F.concat(left, sub(text, start, end - start), right))
 
 
 def section_bounds(body: Column | str) -> Column:

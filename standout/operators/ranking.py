@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.ordering import HOT_ROWS, ordinal, running
+from standout.functions.ordering import HOT_ROWS, has_hot_groups, ordinal, running
 
 CUTOFFS = (1, 2, 3, 4, 5, 10, 15, 20, 30, 100, 200, 500, 1000)
 LEVELS = tuple(range(11))  # tenths of recall
@@ -20,10 +20,10 @@ def level_name(tenths: int) -> str:
     return f"iprec_at_recall_{tenths // 10}_{tenths % 10}0"
 
 
-def rank_entities(scores: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_entities(scores: DataFrame, hot_rows: int = HOT_ROWS, hot: bool | None = None) -> DataFrame:
     """Rank by score descending inside each document; a missing score is 0, ties go by entity id."""
     clean = scores.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
-    return ordinal(clean, ["doc_id"], F.col("score"), F.col("entity_id"), "rank", hot_rows)
+    return ordinal(clean, ["doc_id"], F.col("score"), F.col("entity_id"), "rank", hot_rows, hot)
 
 
 def _steep_discount(rank: Column | str = "rank") -> Column:
@@ -31,9 +31,9 @@ def _steep_discount(rank: Column | str = "rank") -> Column:
     return F.when(rank == 1, 1.0).otherwise(1.0 / F.log2(F.greatest(rank, F.lit(2)).cast("double")))
 
 
-def _gained(scores: DataFrame, golden: DataFrame, binary: bool, hot_rows: int) -> DataFrame:
+def _gained(scores: DataFrame, golden: DataFrame, binary: bool, hot_rows: int, hot: bool | None = None) -> DataFrame:
     judged = golden.select("doc_id", "entity_id", F.lit(True).alias("judged"))
-    rows = rank_entities(scores, hot_rows).join(judged, ["doc_id", "entity_id"], "left")
+    rows = rank_entities(scores, hot_rows, hot).join(judged, ["doc_id", "entity_id"], "left")
     value = (F.col("score") > 0).cast("double") if binary else F.col("score")
     gain = F.when(F.col("judged"), (F.pow(F.lit(2.0), value) - 1) * _steep_discount())
     return rows.withColumn("gain", F.coalesce(gain, F.lit(0.0)))
@@ -54,16 +54,18 @@ def salience_ndcg(
 
 def dcg_curve(scores: DataFrame, golden: DataFrame, binary: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cumulative gain at each rank."""
-    rows = _gained(scores, golden, binary, hot_rows)
-    return running(rows, ["doc_id"], "rank", {"dcg": F.col("gain")}).select("doc_id", "rank", "entity_id", "dcg")
+    hot = has_hot_groups(scores, ["doc_id"], hot_rows)
+    rows = _gained(scores, golden, binary, hot_rows, hot)
+    return running(rows, ["doc_id"], "rank", {"dcg": F.col("gain")}, hot=hot).select("doc_id", "rank", "entity_id", "dcg")
 
 
 def ideal_dcg(golden: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same cumulative gain for the golden grades themselves; the last one is the total."""
     rows = golden.select("doc_id", "entity_id", F.col("grade").alias("score"))
-    ranked = rank_entities(rows, hot_rows)
+    hot = has_hot_groups(rows, ["doc_id"], hot_rows)
+    ranked = rank_entities(rows, hot_rows, hot)
     gain = (F.pow(F.lit(2.0), F.col("score")) - 1) * _steep_discount()
-    return running(ranked, ["doc_id"], "rank", {"dcg": gain}).select("doc_id", "rank", "entity_id", "dcg")
+    return running(ranked, ["doc_id"], "rank", {"dcg": gain}, hot=hot).select("doc_id", "rank", "entity_id", "dcg")
 
 
 def judged_run(run: DataFrame, qrels: DataFrame, relevant: float = 2.0, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -71,13 +73,15 @@ def judged_run(run: DataFrame, qrels: DataFrame, relevant: float = 2.0, hot_rows
 
     Only documents of both inputs are evaluated.
     """
+    hot = has_hot_groups(run, ["doc_id"], hot_rows)
     judged_docs = qrels.select("doc_id").distinct()
-    ranked = rank_entities(run.join(judged_docs, "doc_id", "left_semi").select("doc_id", "entity_id", "score"), hot_rows)
+    evaluated = run.join(judged_docs, "doc_id", "left_semi").select("doc_id", "entity_id", "score")
+    ranked = rank_entities(evaluated, hot_rows, hot)
     rows = ranked.join(qrels.select("doc_id", "entity_id", "grade"), ["doc_id", "entity_id"], "left")
     hit, miss = F.col("grade") >= relevant, F.col("grade") < relevant
     rows = rows.withColumns({"hit": F.coalesce(hit, F.lit(False)), "miss": F.coalesce(miss, F.lit(False))})
     return running(
-        rows, ["doc_id"], "rank", {"hits": F.col("hit").cast("long"), "misses": F.col("miss").cast("long")}
+        rows, ["doc_id"], "rank", {"hits": F.col("hit").cast("long"), "misses": F.col("miss").cast("long")}, hot=hot
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.ordering import HOT_ROWS, ordinal
+from standout.functions.ordering import HOT_ROWS, ordinal, running
 
 PRIME = 1_000_003
 
@@ -46,10 +46,8 @@ def kfold(df: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     Rows are numbered without ever sorting the whole table in one task.
     """
     per_doc = df.groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumn("_all", F.lit(0))
-    from standout.functions.ordering import running
-
     placed = ordinal(per_doc, ["_all"], -F.col("doc_id"), F.col("doc_id"), "_place", hot_rows)
-    starts = running(placed, ["_all"], "_place", {"_upto": F.col("_rows")})
+    starts = running(placed, ["_all"], "_place", {"_upto": F.col("_rows")}, hot_rows=hot_rows)
     starts = starts.select("doc_id", (F.col("_upto") - F.col("_rows")).alias("_before"))
     inside = ordinal(df, ["doc_id"], -F.col("entity_id"), F.col("entity_id"), "_inside", hot_rows)
     rows = inside.join(starts, "doc_id").withColumn("_n", F.col("_before") + F.col("_inside"))

@@ -30,12 +30,17 @@ def _one(units: DataFrame, vec_id: int) -> Column:
     return units.where(F.col("vec_id") == vec_id).agg(F.first("u")).scalar()
 
 
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def _asked(rows: DataFrame, units: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """The asked-for unit vectors as columns ``q0, q1, ...``."""
+    return rows.select("vec_id", "u", *[_one(units, i).alias(f"q{n}") for n, i in enumerate(ids)])
 
 
-def _scale(v: Column, by: float) -> Column:
-    return F.transform(v, lambda x: x * by)
+def _sum(signs: Sequence[float]) -> Column:
+    def signed(n: int, sign: float) -> Column:
+        return F.transform(F.col(f"q{n}"), lambda x: x * sign)
+
+    parts = [signed(n, sign) for n, sign in enumerate(signs)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
 
 
 def _top(rows: DataFrame, topn: int) -> DataFrame:
@@ -51,8 +56,9 @@ def most_similar(vectors: DataFrame, vec_id: int, topn: int = 10) -> DataFrame:
 def analogy(vectors: DataFrame, positive: Sequence[int], negative: Sequence[int], topn: int = 10) -> DataFrame:
     """Cosine to the mean of the signed unit vectors; the given ids are left out."""
     units = unit_vectors(vectors)
-    signed = [_one(units, i) for i in positive] + [_scale(_one(units, i), -1.0) for i in negative]
-    rows = units.where(~F.col("vec_id").isin([*positive, *negative])).select("vec_id", "u", reduce(_add, signed).alias("m"))
+    asked = [*positive, *negative]
+    rows = _asked(units.where(~F.col("vec_id").isin(asked)), units, asked)
+    rows = rows.select("vec_id", "u", _sum([1.0] * len(positive) + [-1.0] * len(negative)).alias("m"))
     rows = rows.select("vec_id", "u", unit(F.col("m")).alias("m"))
     return _top(rows.select("vec_id", dot(F.col("u"), F.col("m")).alias("similarity")), topn)
 
@@ -63,7 +69,7 @@ def analogy_multiplicative(
     """Products of shifted cosines: positives over negatives."""
     units = unit_vectors(vectors)
     asked = [*positive, *negative]
-    rows = units.where(~F.col("vec_id").isin(asked)).select("vec_id", "u", *[_one(units, i).alias(f"q{n}") for n, i in enumerate(asked)])
+    rows = _asked(units.where(~F.col("vec_id").isin(asked)), units, asked)
 
     def product(places: range) -> Column:
         return reduce(lambda a, b: a * b, [(1 + dot(F.col("u"), F.col(f"q{n}"))) / 2 for n in places], F.lit(1.0))
@@ -75,8 +81,8 @@ def analogy_multiplicative(
 def odd_one_out(vectors: DataFrame, ids: Sequence[int]) -> DataFrame:
     """The vector least similar to the mean unit vector of the group."""
     units = unit_vectors(vectors)
-    mean = reduce(_add, [_one(units, i) for i in ids])
-    rows = units.where(F.col("vec_id").isin(list(ids))).select("vec_id", "u", mean.alias("m"))
+    rows = _asked(units.where(F.col("vec_id").isin(list(ids))), units, ids)
+    rows = rows.select("vec_id", "u", _sum([1.0] * len(ids)).alias("m"))
     rows = rows.select("vec_id", dot(F.col("u"), unit(F.col("m"))).alias("similarity"))
     return rows.agg(F.min_by(F.struct("vec_id", "similarity"), F.struct(F.round("similarity", 9), "vec_id")).alias("r")).select("r.*")
 

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["source_queries", "kb_queries", "text_queries", "eval_queries", "matrix_queries"]
+MODULES = ["source_queries", "kb_queries", "text_queries", "eval_queries", "matrix_queries",
+           "sentiment_queries"]
 
 
 def load() -> None:

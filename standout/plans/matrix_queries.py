@@ -14,6 +14,11 @@ from standout.plans.inputs import with_inputs
 NAMES = ["f1", "f2", "f3", "f4"]
 
 
+def _place():
+    """Order of the lines of one supplier in an order: by price, then by line number."""
+    return F.round(F.col("l_extendedprice") * 100).cast("long") * 10 + F.col("l_linenumber")
+
+
 @query("clean_features", with_inputs("matrix", "SELECT doc_id, entity_id, CASE WHEN f1 > 40 THEN 0 ELSE f1 END AS f1, "
        "CASE WHEN f3 = 0 THEN 0 ELSE f2 END AS f2, f3, f4, y FROM matrix"))
 def _(spark, sf):
@@ -26,7 +31,7 @@ def _(spark, sf):
 def _second(spark, sf):
     orders = inputs.table(spark, sf, "lineitem")
     return orders.select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("entity_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("entity_id"), _place().alias("line_no"),
         F.col("l_quantity").alias("g1"), F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0).alias("y"),
     )
 
@@ -34,16 +39,16 @@ def _second(spark, sf):
 def _first(spark, sf):
     orders = inputs.table(spark, sf, "lineitem")
     return orders.select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("entity_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("entity_id"), _place().alias("line_no"),
         F.col("l_tax").alias("f1"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"),
     ).where("f1 >= 0.02")
 
 
 @query("join_features", "SELECT a.doc_id, a.entity_id, a.f1, b.g1, (a.y + b.y) / 2 AS y FROM "
-       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_tax, l_linenumber) AS f1, "
-       "CAST(arg_max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, l_linenumber) AS DOUBLE) AS y FROM lineitem WHERE l_tax >= 0.02 GROUP BY ALL) a JOIN "
-       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_quantity, l_linenumber) AS g1, "
-       "CAST(arg_max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END, l_linenumber) AS DOUBLE) AS y FROM lineitem GROUP BY ALL) b USING (doc_id, entity_id)")
+       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_tax, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber) AS f1, "
+       "CAST(arg_max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber) AS DOUBLE) AS y FROM lineitem WHERE l_tax >= 0.02 GROUP BY ALL) a JOIN "
+       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_quantity, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber) AS g1, "
+       "CAST(arg_max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber) AS DOUBLE) AS y FROM lineitem GROUP BY ALL) b USING (doc_id, entity_id)")
 def _(spark, sf):
     return matrix.join_features(_first(spark, sf), _second(spark, sf), order="line_no")
 
@@ -60,8 +65,8 @@ def _(spark, sf):
 
 
 @query("combine_light_heavy", "SELECT b.doc_id, b.entity_id, coalesce(a.f1, 0) AS f1, b.g1 FROM "
-       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_tax, l_linenumber) AS f1 FROM lineitem WHERE l_tax >= 0.02 GROUP BY ALL) a RIGHT JOIN "
-       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_quantity, l_linenumber) AS g1 FROM lineitem GROUP BY ALL) b USING (doc_id, entity_id)")
+       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_tax, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber) AS f1 FROM lineitem WHERE l_tax >= 0.02 GROUP BY ALL) a RIGHT JOIN "
+       "(SELECT l_orderkey AS doc_id, l_suppkey AS entity_id, arg_max(l_quantity, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber) AS g1 FROM lineitem GROUP BY ALL) b USING (doc_id, entity_id)")
 def _(spark, sf):
     light = matrix.last_rows(_first(spark, sf), "line_no").select("doc_id", "entity_id", "f1")
     heavy = matrix.last_rows(_second(spark, sf), "line_no").select("doc_id", "entity_id", "g1")
@@ -249,9 +254,9 @@ def _(spark, sf):
     return out.withColumns({c: round9(c) for c in ("mean_grade", "std_grade")})
 
 
-@query("histogram", "SELECT least(CAST(floor((l_extendedprice - lo) / (hi - lo) * 10) AS BIGINT), 9) AS bin, "
-       "round(lo + (hi - lo) / 10 * least(floor((l_extendedprice - lo) / (hi - lo) * 10), 9), 6) AS low, count(*) AS count, round(count(*) / (n * (hi - lo) / 10), 12) AS density "
-       "FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n FROM lineitem) GROUP BY ALL")
+@query("histogram", "SELECT bin, round(lo + (hi - lo) / 10 * bin, 6) AS low, count(*) AS count, round(count(*) / (any_value(n) * (hi - lo) / 10), 12) AS density FROM ("
+       "SELECT least(CAST(floor((l_extendedprice - lo) / (hi - lo) * 10) AS BIGINT), 9) AS bin, lo, hi, n "
+       "FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n FROM lineitem)) GROUP BY bin, lo, hi")
 def _(spark, sf):
     out = stats.histogram(inputs.table(spark, sf, "lineitem"), "l_extendedprice")
     return out.withColumns({"low": round9("low", 6), "density": round9("density", 12)})
@@ -294,7 +299,7 @@ def _(spark, sf):
     return vectors.most_similar(_vectors(spark, sf), 3).withColumn("similarity", round9("similarity"))
 
 
-MEAN = f"mean AS (SELECT list_transform(range(1, 65), lambda i: {_vec(1)}[i] + {_vec(2)}[i] - {_vec(5)}[i]) AS m)"
+MEAN = "mean AS (SELECT list_transform(range(1, 65), lambda i: a.u[i] + b.u[i] - c.u[i]) AS m FROM un a, un b, un c WHERE a.vec_id = 1 AND b.vec_id = 2 AND c.vec_id = 5)"
 
 
 @query("analogy", "WITH " + UNIT + ", " + MEAN + " SELECT vec_id, round(list_dot_product(u, m) / sqrt(list_dot_product(m, m)), 9) AS similarity "
@@ -309,7 +314,7 @@ def _(spark, sf):
     return vectors.analogy_multiplicative(_vectors(spark, sf), [1, 2], [5]).withColumn("similarity", round9("similarity"))
 
 
-GROUP = f"mean AS (SELECT list_transform(range(1, 65), lambda i: {_vec(1)}[i] + {_vec(2)}[i] + {_vec(5)}[i] + {_vec(9)}[i]) AS m)"
+GROUP = "mean AS (SELECT list_transform(range(1, 65), lambda i: a.u[i] + b.u[i] + c.u[i] + d.u[i]) AS m FROM un a, un b, un c, un d WHERE a.vec_id = 1 AND b.vec_id = 2 AND c.vec_id = 5 AND d.vec_id = 9)"
 
 
 @query("odd_one_out", "WITH " + UNIT + ", " + GROUP + " SELECT vec_id, round(list_dot_product(u, m) / sqrt(list_dot_product(m, m)), 9) AS similarity "
