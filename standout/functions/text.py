@@ -38,21 +38,35 @@ def find_nth(text: Column | str, needle: str, n: Column | int) -> Column:
     return F.when(count_in(text, mark) >= n, F.length(head)).otherwise(-1).cast("long")
 
 
-def occurrences(text: Column | str, needle: Column) -> Column:
-    """0-based offsets of every hit of a lower-case needle, overlapping ones included.
+def occurrences(lowered: Column | str, needle: Column) -> Column:
+    """0-based offsets of every hit of a lower-case needle in a lower-case text, overlapping ones included.
 
-    Cutting the text before each hit leaves pieces whose running lengths are the offsets.
+    The pieces of the text cut at a needle give the offsets as running lengths. A needle that starts
+    like it ends can overlap itself; only then the text is cut in front of each hit instead.
     """
-    text = col(text)
-    cut = F.concat(F.lit("(?iu)(?=\\Q"), needle, F.lit("\\E)"))
-    pieces = F.split(text, cut, -1)
-    ends = F.aggregate(
-        pieces,
-        F.array(F.lit(0)),
-        lambda acc, piece: F.array_append(acc, F.element_at(acc, -1) + F.length(piece)),
+    lowered = col(lowered)
+    size = F.length(needle)
+    quoted = F.concat(F.lit("\\Q"), needle, F.lit("\\E"))
+    repeats = F.exists(
+        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))),
+        lambda k: (k < size) & (F.substring(needle, F.lit(1), k) == F.substring(needle, size - k + 1, k)),
     )
-    hits = F.filter(ends, lambda at: F.lower(F.substring(text, at + 1, F.length(needle))) == needle)
-    return F.when(F.length(needle) > 0, hits).otherwise(F.array().cast("array<int>"))
+
+    def places(pattern: Column, gap: Column, first: Column) -> Column:
+        ends = F.aggregate(
+            F.split(lowered, pattern, -1),
+            F.array(F.lit(0)),
+            lambda acc, piece: F.array_append(acc, F.element_at(acc, -1) + F.length(piece) + gap),
+        )
+        # the last running length lies behind the text; the first is a hit only if the text starts with it
+        inner = F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 2, F.lit(0)))
+        return F.concat(first, inner)
+
+    none = F.array().cast("array<int>")
+    front = F.when(F.startswith(lowered, needle), F.array(F.lit(0))).otherwise(none)
+    ahead = places(F.concat(F.lit("(?="), quoted, F.lit(")")), F.lit(0), front)
+    plain = F.transform(places(quoted, size, none), lambda at: at - size)
+    return F.when((size > 0) & F.contains(lowered, needle), F.when(repeats, ahead).otherwise(plain)).otherwise(none)
 
 
 def normalise_text(text: Column | str, collapse: bool = False) -> Column:

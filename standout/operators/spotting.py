@@ -25,11 +25,11 @@ def _wanted(doc_entities: DataFrame, titles: DataFrame | None) -> DataFrame:
 
 def _by_field(docs: DataFrame, doc_entities: DataFrame, titles: DataFrame | None) -> DataFrame:
     fields = F.array(
-        F.struct(F.lit("title").alias("field"), F.col("title").alias("text")),
-        F.struct(F.lit("body").alias("field"), F.col("body").alias("text")),
+        F.struct(F.lit("title").alias("field"), F.col("title").alias("text"), F.lower("title").alias("low")),
+        F.struct(F.lit("body").alias("field"), F.col("body").alias("text"), F.lower("body").alias("low")),
     )
-    joined = docs.join(_wanted(doc_entities, titles), "doc_id")
-    pairs = joined.select("doc_id", F.explode("wanted").alias("w"), fields.alias("fields"))
+    joined = docs.select("doc_id", fields.alias("fields")).join(_wanted(doc_entities, titles), "doc_id")
+    pairs = joined.select("doc_id", F.explode("wanted").alias("w"), "fields")
     return pairs.select("doc_id", "w.*", F.explode("fields").alias("f")).select(
         "doc_id", "entity_id", "needle", "first", "f.*"
     )
@@ -68,13 +68,13 @@ def spot_titles(
     ``doc_id, entity_id`` with ``titles(entity_id, title)``, or carries ``title`` itself.
     """
     pairs = _by_field(docs, doc_entities, titles)
-    exact = occurrences("text", F.col("needle"))
+    exact = occurrences("low", F.col("needle"))
     rows = pairs.withColumn("exact", exact)
     found = F.size("exact") > 0
     places = _places(F.col("exact"), F.col("needle"))
     stage = F.lit("title")
     if fallback:
-        rows = rows.withColumn("part", F.when(~found, occurrences("text", F.col("first"))))
+        rows = rows.withColumn("part", F.when(~found, occurrences("low", F.col("first"))))
         part_found = F.size(F.coalesce("part", F.array())) > 0
         stage = F.when(found, stage).when(part_found, F.lit("token"))
         places = F.when(found, places).when(part_found, _places(F.col("part"), F.col("first")))
