@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["source_queries", "kb_queries", "text_queries", "eval_queries", "matrix_queries",
-           "sentiment_queries", "graph_queries"]
+           "sentiment_queries", "graph_queries", "model_queries"]
 
 
 def load() -> None:

@@ -45,7 +45,8 @@ PATHS = (
 
 
 def _inputs(spark, sf):
-    return inputs.golden(spark, sf), inputs.links(spark, sf)
+    """Judgements and links, stored once: every graph operator reads them several times."""
+    return cut_lineage(inputs.golden(spark, sf)), cut_lineage(inputs.links(spark, sf))
 
 
 def _edges(spark, sf):
