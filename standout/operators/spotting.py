@@ -108,13 +108,15 @@ def word_ngrams(docs: DataFrame, max_words: int = 4) -> DataFrame:
         "words", F.array(F.lit(-1)), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + F.length(w) + 1)
     )
     words = words.withColumn("ends", ends)
-    rows = words.select("doc_id", "field", "words", "ends", F.posexplode("words").alias("pos", "word"))
-    rows = rows.withColumn(
-        "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("words") - F.col("pos"))))
+    # each place takes its own few words along, so the arrays of the text are not repeated per row
+    places = F.transform(
+        "words",
+        lambda w, i: F.struct((F.element_at("ends", i + 1) + 1).alias("start"), F.slice("words", i + 1, F.lit(max_words)).alias("next")),
     )
-    start = F.element_at("ends", F.col("pos") + 1) + 1
-    piece = F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ")
-    return rows.select("doc_id", "field", start.cast("long").alias("start"), piece.alias("piece"))
+    rows = words.select("doc_id", "field", F.explode(places).alias("p"))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("p.next"))))
+    piece = F.array_join(F.slice("p.next", F.lit(1), F.col("n")), " ")
+    return rows.select("doc_id", "field", F.col("p.start").cast("long").alias("start"), piece.alias("piece"))
 
 
 def spot_dictionary(docs: DataFrame, anchors: DataFrame, max_words: int = 4) -> DataFrame:
@@ -125,13 +127,11 @@ def spot_dictionary(docs: DataFrame, anchors: DataFrame, max_words: int = 4) ->
     """
     plain = F.trim(F.lower("piece"))
     size = F.length("piece")
-    forms = F.array(
-        F.struct(plain.alias("key"), size.alias("width")),
-        F.struct(F.when((F.length(plain) > 1) & plain.endswith("."), F.substring(plain, F.lit(1), F.length(plain) - 1)).alias("key"),
-                 (size - 1).alias("width")),
-    )
+    whole = F.struct(plain.alias("key"), size.alias("width"))
+    short = F.struct(F.substring(plain, F.lit(1), F.length(plain) - 1).alias("key"), (size - 1).alias("width"))
+    forms = F.when((F.length(plain) > 1) & plain.endswith("."), F.array(whole, short)).otherwise(F.array(whole))
     rows = word_ngrams(docs, max_words).select("doc_id", "field", "start", "piece", F.explode(forms).alias("k"))
-    rows = rows.where("k.key IS NOT NULL AND k.key <> ''")
+    rows = rows.where("k.key <> ''")
     hits = rows.join(anchors.select("anchor_key", "entity_id"), F.col("k.key") == F.col("anchor_key"))
     return hits.select(
         "doc_id",
@@ -188,10 +188,14 @@ def spot_html_anchors(pages: DataFrame, titles: DataFrame, prefix: str, html: st
         "pieces", F.array(F.lit(0)),
         lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p["surface"])),
     )
-    rows = rows.withColumn("starts", starts).select(key, "starts", F.posexplode("pieces").alias("pos", "p"))
-    rows = rows.where("p.href IS NOT NULL").select(
+    placed = F.transform(
+        "pieces", lambda p, i: F.struct(p["surface"].alias("surface"), p["href"].alias("href"), F.element_at("starts", i + 1).alias("start"))
+    )
+    anchors = F.filter(placed, lambda p: p["href"].isNotNull())
+    rows = rows.withColumn("starts", starts).select(key, F.explode(anchors).alias("p"))
+    rows = rows.select(
         key,
-        F.element_at("starts", F.col("pos") + 1).cast("long").alias("start"),
+        F.col("p.start").cast("long").alias("start"),
         F.col("p.surface").alias("surface"),
         F.when(F.col("p.href").startswith(prefix), F.lower(F.substring(F.col("p.href"), F.lit(len(prefix) + 1), F.length("p.href")))).alias("title_key"),
     )

@@ -19,10 +19,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table over the cores if its files give fewer scan tasks than there are cores.
+
+    Large tables have many splits and are left as they are.
+    """
+    spark = df.sparkSession
+    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     title = F.split_part("text", F.lit("."), F.lit(1))
     body = F.substring(F.col("text"), F.length(title) + 2, F.length("text"))
-    return table(spark, sf, "documents").select("doc_id", title.alias("title"), body.alias("body"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", title.alias("title"), body.alias("body"))
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:

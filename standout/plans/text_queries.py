@@ -25,17 +25,21 @@ def _(spark, sf):
     return inputs.mentions(spark, sf)
 
 
-def _phrases(spark, sf):
-    """Two-word entities, one per link; wanted where their first word occurs."""
+def _phrase_table(spark, sf):
+    """Two-word entities, one per link."""
     known = inputs.entities(spark, sf)
     src = known.select(F.col("entity_id").alias("src"), F.col("title").alias("_a"))
     dst = known.select(F.col("entity_id").alias("dst"), F.col("title").alias("_b"))
     rows = inputs.links(spark, sf).join(src, "src").join(dst, "dst")
-    phrases = rows.select(
+    return rows.select(
         (F.col("src") * 1_000_003 + F.col("dst")).alias("entity_id"), F.concat("_a", F.lit("_"), "_b").alias("title"), "src"
     )
+
+
+def _phrases(spark, sf):
+    """The two-word entities wanted where their first word occurs."""
     wanted = inputs.doc_entities(spark, sf).select("doc_id", F.col("entity_id").alias("src"))
-    return wanted.join(phrases, "src").select("doc_id", "entity_id", "title")
+    return wanted.join(_phrase_table(spark, sf), "src").select("doc_id", "entity_id", "title")
 
 
 @query("spot_titles_first_token", with_inputs("mentions links entity", "SELECT * FROM fallback",
@@ -72,7 +76,7 @@ def _(spark, sf):
 
 def _anchor_words(spark, sf):
     known = inputs.entities(spark, sf).select(F.col("title").alias("anchor_key"), "entity_id")
-    pairs = _phrases(spark, sf).select(F.replace("title", F.lit("_"), F.lit(" ")).alias("anchor_key"), "entity_id").distinct()
+    pairs = _phrase_table(spark, sf).select(F.replace("title", F.lit("_"), F.lit(" ")).alias("anchor_key"), "entity_id")
     return known.unionByName(pairs)
 
 
@@ -104,7 +108,7 @@ def _(spark, sf):
        "SELECT DISTINCT title, entity_id FROM phrase)"))
 def _(spark, sf):
     known = inputs.entities(spark, sf).select(F.col("title").alias("title_key"), "entity_id")
-    pairs = _phrases(spark, sf).select(F.col("title").alias("title_key"), "entity_id").distinct()
+    pairs = _phrase_table(spark, sf).select(F.col("title").alias("title_key"), "entity_id")
     return spotting.spot_title_keys(inputs.docs(spark, sf), known.unionByName(pairs))
 
 
