@@ -200,10 +200,10 @@ def _(spark, sf):
 
 def _series(spark, sf):
     rows = inputs.table(spark, sf, "lineitem").where("l_returnflag <> 'N' OR l_tax > 0.01")
-    return rows.groupBy(F.col("l_returnflag").alias("system"), F.col("l_orderkey").alias("doc_id")).agg(F.avg("l_discount").alias("value"))
+    return rows.groupBy(F.col("l_returnflag").alias("system"), F.col("l_orderkey").alias("doc_id")).agg(round9(F.avg("l_discount")).alias("value"))
 
 
-SERIES = ("series AS MATERIALIZED (SELECT l_returnflag AS system, l_orderkey AS doc_id, avg(l_discount) AS value FROM lineitem WHERE l_returnflag <> 'N' OR l_tax > 0.01 GROUP BY ALL), "
+SERIES = ("series AS MATERIALIZED (SELECT l_returnflag AS system, l_orderkey AS doc_id, round(avg(l_discount), 9) AS value FROM lineitem WHERE l_returnflag <> 'N' OR l_tax > 0.01 GROUP BY ALL), "
           "wide AS (SELECT doc_id, coalesce(max(value) FILTER (WHERE system = 'A'), 0) AS a, coalesce(max(value) FILTER (WHERE system = 'N'), 0) AS n, "
           "coalesce(max(value) FILTER (WHERE system = 'R'), 0) AS r FROM series GROUP BY doc_id)")
 

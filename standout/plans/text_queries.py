@@ -155,7 +155,7 @@ def _(spark, sf):
 @query("attach_golden", with_inputs("golden doc_entity", "SELECT e.doc_id, e.entity_id, coalesce(g.grade, 0) AS grade FROM doc_entity e "
        "LEFT JOIN golden g ON g.doc_id = e.doc_id AND g.entity_id = e.entity_id"))
 def _(spark, sf):
-    return gold.placetach_golden(inputs.doc_entities(spark, sf).drop("title"), inputs.golden(spark, sf))
+    return gold.attach_golden(inputs.doc_entities(spark, sf).drop("title"), inputs.golden(spark, sf))
 
 
 @query("only_golden", with_inputs("golden doc_entity", "SELECT doc_id, entity_id, title FROM doc_entity e SEMI JOIN golden g USING (doc_id, entity_id)"))
