@@ -22,14 +22,24 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "standout")
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where no folder is set (tests, one machine) a temporary one is made.
+    Only a session with a local master, where all tasks run in the driver, gets a temporary one; a cluster without the
+    setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="standout-checkpoint-")
     if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="standout-checkpoint-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
