@@ -12,8 +12,6 @@ from standout.session import shared_folder
 
 #: Words as all contracts define them; Python's ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Upper and lower case of the letters that are folded.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,24 +54,3 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, groups: Sequence[str]
     near = near.where(unsigned_share(order) * F.col("_n") <= 3.0 * rows)
     place = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(order, key)
     return near.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= rows).drop("_n", "_r")
-
-
-def slab_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slab: Column, size: str, name: str
-) -> DataFrame:
-    """Running sum of ``size`` per group up to and including each row, by ``slab`` and then ``order``.
-
-    ``slab`` must not fall as ``order`` rises. Each slab is summed by itself and shifted by the sum of the earlier ones, so
-    that no task sorts a whole group.
-    """
-    cut = df.withColumn("_slab", slab)
-    inside = Window.partitionBy(*keys, "_slab")
-    upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_slab").agg(F.sum(size).alias("_sum"))
-    totals = totals.select(*keys, "_slab", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    both = cut.withColumn(name, F.sum(size).over(upto))
-    both = both.alias("l").join(
-        totals.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_slab"]]
-    )
-    return both.select(*[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{name}") + F.col("r._before")).alias(name))
