@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +37,23 @@ def unsigned_share(hashed: Column) -> Column:
     return hashed.cast("double") / F.lit(2.0**64) + F.lit(0.5)
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int, groups: Sequence[str] = ()) -> DataFrame:
-    """At most ``rows`` rows of each group, those with the smallest hash of ``key``.
+def bounded_sample(df: DataFrame, key: str, rows: int, group: str | None = None) -> DataFrame:
+    """At most ``rows`` rows, or rows of each value of ``group`` (few values), those with the smallest hash of ``key``.
 
-    A count fixes a hash threshold that about three times as many rows pass, so that the exact choice by row number
-    sees few rows from every task whatever the table's size.
+    Counts fix a hash threshold that about three times as many rows pass, so that the exact choice by row number sees few
+    rows from every task whatever the table's size.
     """
     order = F.xxhash64(key)
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"))
-    if groups:
-        near = df.join(sizes, list(groups))
+    if group is None:
+        size = F.lit(df.count())
     else:
-        near = df.withColumn("_n", F.lit(sizes.first()["_n"]))
-    near = near.where(unsigned_share(order) * F.col("_n") <= 3.0 * rows)
-    place = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(order, key)
-    return near.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= rows).drop("_n", "_r")
+        sizes = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+        size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col(group)] if sizes else F.lit(0)
+    near = df.where(unsigned_share(order) * size <= 3.0 * rows)
+    place = Window.partitionBy(F.lit(0) if group is None else group).orderBy(order, key)
+    return near.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= rows).drop("_r")
+
+
+def remainder(doc_id: str, divisor: int) -> Column:
+    """crc32 of a document's id as text, modulo ``divisor``; a missing id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % divisor
