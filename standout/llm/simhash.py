@@ -122,6 +122,13 @@ def near_pairs(
     return pairs.unionByName(stars).distinct()
 
 
+def _roots(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(bits, first)`` with the least doc_id of each fingerprint, and ``(bits, root)`` of the linked ones."""
+    classes = marked.groupBy("bits").agg(F.min("doc_id").alias("first"))
+    roots = components(near_pairs(classes.select("bits"))).select(F.col("node").alias("bits"), "root")
+    return classes, stored(roots, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row for each document.
 
@@ -131,9 +138,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component with other members (a component of such rows alone has a NULL id). Only doc_id and text are read.
     """
     marked = stored(fingerprints(docs), "simhash-bits")
-    classes = marked.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    roots = components(near_pairs(classes.select("bits"))).select(F.col("node").alias("bits"), "root")
-    roots = stored(roots, "simhash-roots")
+    classes, roots = _roots(marked)
     firsts = roots.join(classes, "bits").groupBy("root").agg(F.min("first").alias("linked"))
     linked = roots.join(firsts, "root").select("bits", "linked")
     named = classes.join(linked, "bits", "left").select("bits", F.coalesce("linked", "first").alias("component_id"))
@@ -141,6 +146,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "bits").select("doc_id", hexed, "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that of the least doc_id, then of the least hash of the text.
+
+    Rows without a doc_id stay only where a component has no other. Of repeated rows one stays. All columns are kept.
+    """
+    mark = F.crc32(F.coalesce("text", F.lit("")))
+    marked = docs.select("doc_id", mark.alias("mark"), _fingerprint(F.col("text")).alias("bits"))
+    marked = stored(marked, "simhash-bits")
+    _, roots = _roots(marked)
+    named = marked.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    one = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    kept = named.groupBy("root").agg(F.min(one).alias("one")).select(
+        F.col("one.doc_id").alias("_kept_id"), F.col("one.mark").alias("_kept_mark")
+    )
+    rows = docs.withColumn("_mark", mark).join(
+        kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi"
+    )
+    return rows.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+
+
 @query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
