@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -10,9 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from standout.llm.catalog import query
 from standout.llm.common import partitions, stored, table
@@ -27,56 +27,70 @@ GROUPS = 4
 BACKLOG = 1 << 18
 _CACHE = 300_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_BLANKS = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 class CachedTokenizer:
-    """Ids of whole texts by a byte-level tokenizer, with the ids of space-separated units kept.
+    """Ids of whole texts by a byte-level vocabulary of ranks, with the ids of space-separated units kept.
 
     Such a tokenizer never joins characters across a single space between two others, so a text is the sequence of its units,
-    each with the space before it. Texts with neighbouring or outer white space go through the tokenizer whole.
+    each with the space before it. Texts with white space next to such a space are encoded whole. Special tokens in a text are
+    ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ids = own.encode_ordinary
+        self.kind = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for word, rank in ranks.items():
+            self.bytes_of[rank] = len(word)
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return np.array(self.ids(text), self.kind).tobytes()
 
     def _learn(self, units: list[str]) -> None:
         """Encode units of at least one character, each with its space, as one text and cut the ids at their bytes."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(units), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.ids(" " + " ".join(units)), self.kind)
         ends = np.cumsum([1 + len(u.encode()) for u in units])
-        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-        data, at, width = ids.tobytes(), 0, self.kind.itemsize
-        for unit, cut in zip(units, cuts.tolist()):
-            self.known[unit] = data[at * width : cut * width]
-            at = cut
+        cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.kind.itemsize
+        data, cuts = ids.tobytes(), cuts.tolist()
+        self.known.update((u, data[a:b]) for u, a, b in zip(units, [0, *cuts], cuts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers, with the end id; the texts of one call share what they need."""
         end = np.array([END], self.kind).tobytes()
-        split = [None if not t or _BLANKS.search(t) else t.split(" ") for t in texts]
         if len(self.known) > _CACHE:
             self.known = {}
         known = self.known
-        missing = list(dict.fromkeys(u for units in split if units for u in units[1:] if u not in known))
+        split: list[list[str] | None] = []
+        missing: dict[str, None] = {}
+        for text in texts:
+            units = text.split(" ")
+            new = [u for u in units[1:] if u not in known]
+            if _loose(units[0]) or any(map(_loose, new)):
+                split.append(None)
+            else:
+                split.append(units)
+                missing.update(dict.fromkeys(new))
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         out = []
         for text, units in zip(texts, split):
             if units is None:
-                out.append((self._whole(text) if text else b"") + end)
+                out.append(self._whole(text) + end)
             else:
                 out.append(self._whole(units[0]) + b"".join([known[u] for u in units[1:]]) + end)
         return out
 
 
+def _loose(unit: str) -> bool:
+    """Whether a unit is empty or has white space at an end."""
+    return not unit or unit[0].isspace() or unit[-1].isspace()
+
+
 _loaded: dict[str, CachedTokenizer] = {}
 
 
@@ -208,7 +222,7 @@ class RoundRobin:
 
 def pack(
     docs: DataFrame,
-    path: str = public_tokenizers.path("byte_bpe_50k.json"),
+    path: str = public_tokenizers.path("byte_bpe_50k.tiktoken"),
     window: int = WINDOW,
     least: int = LEAST_PIECE,
     with_ids: bool = False,
