@@ -22,7 +22,6 @@ GRAPH = ["doc_id", "variant"]
 UNIVERSE = 5  # fixed size of the link universe in the relatedness formula
 TINY_DENOMINATOR = 0.001
 ISOLATED_CLOSENESS = 100.0
-DENSE_NODES = 400
 EDGE = ["doc_id", "variant", "src", "dst", "w"]
 
 
@@ -121,11 +120,11 @@ def graph_size(edges: DataFrame) -> DataFrame:
     return node_degree(edges).groupBy(*GRAPH).agg(F.count("*").alias("graph_size"))
 
 
-def shortest_paths(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame) -> DataFrame:
     """All finite directed distances between different nodes of each graph: ``src, dst, d``.
 
-    Each round extends only the distances that improved in the round before. Reaching the round limit
-    with a frontier left is an error, never a partial result.
+    Each round extends only the distances that improved in the round before, until none is left; there are at most as many
+    rounds as a shortest path has edges.
     """
     steps = cut_lineage(
         edges.where("src <> dst").groupBy(*GRAPH, "src", "dst").agg(F.min("w").alias("w"))
@@ -133,7 +132,7 @@ def shortest_paths(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     key = [*GRAPH, "src", "dst"]
     known = steps.select(*key, F.col("w").alias("d"), F.lit(True).alias("fresh"))
     onward = steps.select(*GRAPH, F.col("src").alias("via"), F.col("dst").alias("to"), "w")
-    for _ in range(max_rounds):
+    while True:
         frontier = known.where("fresh").select(*GRAPH, "src", F.col("dst").alias("via"), "d")
         longer = frontier.join(onward, [*GRAPH, "via"]).where("src <> to")
         longer = longer.select(*GRAPH, "src", F.col("to").alias("dst"), F.lit(None).cast("long").alias("old"), (F.col("d") + F.col("w")).alias("new"))
@@ -143,7 +142,6 @@ def shortest_paths(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         known = cut_lineage(merged.select(*key, F.least("old", "new").alias("d"), F.coalesce(fresh, F.lit(False)).alias("fresh")))
         if known.where("fresh").isEmpty():
             return known.drop("fresh")
-    raise RuntimeError(f"paths longer than {max_rounds} edges are left")
 
 
 def diameter(paths: DataFrame) -> DataFrame:
@@ -168,46 +166,33 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return edges.select(*GRAPH, F.explode(both).alias("e")).select(*GRAPH, "e.*").distinct()
 
 
-def eigenvector_centrality(
-    edges: DataFrame, dense_nodes: int = DENSE_NODES, tolerance: float = 1e-10, max_rounds: int = 500
-) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-12, max_rounds: int = 1_000_000) -> DataFrame:
     """Leading eigenvector of the undirected unweighted graph, unit length, positive sum.
 
-    Graphs up to ``dense_nodes`` nodes are solved whole inside tasks; larger ones by power iteration
-    over the edge table. Both give the part of the constant vector in the leading eigenspace.
+    Each graph is solved inside one task by power iteration over its edges, from the constant vector and with one added to
+    the diagonal, so that graphs of two sides settle too. The limit is the part of the constant vector in the leading
+    eigenspace. Reaching the round limit is an error, never an unfinished vector.
     """
-    near = _undirected(edges)
-    sizes = near.select(*GRAPH, "node").distinct().groupBy(*GRAPH).agg(F.count("*").alias("n"))
-    small = near.join(sizes.where(F.col("n") <= dense_nodes).select(*GRAPH), GRAPH, "left_semi")
-    large = sizes.where(F.col("n") > dense_nodes).select(*GRAPH)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, place = np.unique(pdf["node"].to_numpy(), return_inverse=True)
-        a = np.zeros((len(nodes), len(nodes)))
-        a[place, np.searchsorted(nodes, pdf["other"].to_numpy())] = 1.0
-        values, vectors = np.linalg.eigh(a)
-        lead = vectors[:, values > values[-1] - 1e-9]
-        x = lead @ lead.sum(axis=0)
-        out = pd.DataFrame({"node": nodes, "centrality": np.abs(x) / np.linalg.norm(x)})
+        other = np.searchsorted(nodes, pdf["other"].to_numpy())
+        x = np.full(len(nodes), 1 / np.sqrt(len(nodes)))
+        for _ in range(max_rounds):
+            y = x + np.bincount(place, x[other], len(nodes))
+            y /= np.linalg.norm(y)
+            step, x = np.abs(y - x).max(), y
+            if step < tolerance:
+                break
+        else:
+            raise RuntimeError(f"no eigenvector after {max_rounds} rounds")
+        out = pd.DataFrame({"node": nodes, "centrality": x})
         out.insert(0, "variant", pdf["variant"].iloc[0])
         out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
         return out
 
-    solved = small.groupBy(*GRAPH).applyInPandas(solve, "doc_id long, variant string, node long, centrality double")
-    if large.isEmpty():
-        return solved
-    wide = cut_lineage(near.join(large, GRAPH, "left_semi"))
-    x = wide.select(*GRAPH, "node").distinct().withColumn("x", F.lit(1.0))
-    for _ in range(max_rounds):
-        pushed = wide.join(x.withColumnRenamed("node", "other"), [*GRAPH, "other"]).select(*GRAPH, "node", "x", F.lit(0.0).alias("was"))
-        merged = pushed.unionByName(x.select(*GRAPH, "node", "x", F.col("x").alias("was")))
-        y = merged.groupBy(*GRAPH, "node").agg(F.sum("x").alias("y"), F.sum("was").alias("was"))
-        norms = y.groupBy(*GRAPH).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-        stepped = cut_lineage(y.join(norms, GRAPH).select(*GRAPH, "node", (F.col("y") / F.col("norm")).alias("x"), "was"))
-        x = stepped.drop("was")
-        if (stepped.agg(F.max(F.abs(F.col("x") - F.col("was"))).alias("e")).first()["e"] or 0.0) < tolerance:
-            break
-    return solved.unionByName(x.withColumnRenamed("x", "centrality"))
+    near = _undirected(edges)
+    return near.groupBy(*GRAPH).applyInPandas(solve, "doc_id long, variant string, node long, centrality double")
 
 
 def all_variants(candidates: DataFrame, links: DataFrame) -> DataFrame:

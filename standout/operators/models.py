@@ -185,7 +185,7 @@ def permutation_importance(
     model: PipelineModel, df: DataFrame, names: Sequence[str], target: str = "grade", seed: int = 0
 ) -> DataFrame:
     """Root mean square error after permuting one feature at a time, and the increase over the intact one."""
-    buckets = max(1, min(4096, df.count() // 50_000 + 1))
+    buckets = df.count() // 50_000 + 1
     whole = _quality(model, df, names, target).select(F.lit("").alias("name"), "rmse")
     parts = [
         _quality(model, permuted(df, n, buckets, seed).select(*df.columns), names, target).select(F.lit(n).alias("name"), "rmse") for n in names

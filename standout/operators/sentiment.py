@@ -83,14 +83,18 @@ def text_tokens(
     Counting inside the text first makes a hot word one row per text.
     """
     text = F.col("text") if normalised else normalise_text("text")
-    tokens = texts.select(*keys, F.explode(F.split(text, " ")).alias("token"))
+    tokens = texts.select(*keys, F.explode_outer(F.split(text, " ")).alias("token"))
+    tokens = tokens.groupBy(*keys, "token").agg(F.count("*").alias("n"))
     rows = with_stems(tokens, "token", stem)
     valid = F.length("stem") >= MIN_LETTERS
-    return rows.groupBy(*keys, F.when(valid, F.col("stem")).alias("stem")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, F.when(valid, F.col("stem")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 def _with_scores(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    return tokens.join(lexicon.select(F.col("term").alias("stem"), "score"), "stem", "left")
+    """Scores of the stems; rows without one get a key of a hash that no term has, so they do not meet in one task."""
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*tokens.columns), F.lit(1024)).cast("string"))
+    rows = tokens.withColumn("_key", F.coalesce("stem", spread))
+    return rows.join(lexicon.select(F.col("term").alias("_key"), "score"), "_key", "left").drop("_key")
 
 
 def text_scores(tokens: DataFrame, lexicon: DataFrame, keys: Sequence[str]) -> DataFrame:

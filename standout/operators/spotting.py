@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.text import count_in, normalise_text, occurrences, sub
+from standout.functions.text import occurrences, sub
 
 MENTION = ["doc_id", "field", "entity_id", "start", "end", "surface"]
 
@@ -213,8 +213,3 @@ def find_documents(docs: DataFrame, term: str, golden: DataFrame) -> DataFrame:
     """Documents whose body contains the term, ignoring case, with their judgements."""
     hits = docs.where(F.lower("body").contains(term.lower())).select("doc_id", "title")
     return hits.join(golden, "doc_id", "left")
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """Blank-separated tokens of the normalised body per document."""
-    return docs.select("doc_id", (count_in(normalise_text("body"), F.lit(" ")) + 1).alias("tokens"))

@@ -26,13 +26,12 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", unit(F.col("embedding").cast("array<double>")).alias("u"))
 
 
-def _one(units: DataFrame, vec_id: int) -> Column:
-    return units.where(F.col("vec_id") == vec_id).agg(F.first("u")).scalar()
-
-
 def _asked(rows: DataFrame, units: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """The asked-for unit vectors as columns ``q0, q1, ...``."""
-    return rows.select("vec_id", "u", *[_one(units, i).alias(f"q{n}") for n, i in enumerate(ids)])
+    """The asked-for unit vectors as columns ``q0, q1, ...``, looked up together in one scan."""
+    wanted = F.map_from_entries(F.collect_list(F.struct("vec_id", "u")))
+    found = units.where(F.col("vec_id").isin(list(ids))).dropDuplicates(["vec_id"]).agg(wanted).scalar()
+    rows = rows.select("vec_id", "u", found.alias("_found"))
+    return rows.select("vec_id", "u", *[F.col("_found")[F.lit(i)].alias(f"q{n}") for n, i in enumerate(ids)])
 
 
 def _sum(signs: Sequence[float]) -> Column:
@@ -49,8 +48,8 @@ def _top(rows: DataFrame, topn: int) -> DataFrame:
 
 def most_similar(vectors: DataFrame, vec_id: int, topn: int = 10) -> DataFrame:
     units = unit_vectors(vectors)
-    rows = units.where(F.col("vec_id") != vec_id).select("vec_id", "u", _one(units, vec_id).alias("q"))
-    return _top(rows.select("vec_id", dot(F.col("u"), F.col("q")).alias("similarity")), topn)
+    rows = _asked(units.where(F.col("vec_id") != vec_id), units, [vec_id])
+    return _top(rows.select("vec_id", dot(F.col("u"), F.col("q0")).alias("similarity")), topn)
 
 
 def analogy(vectors: DataFrame, positive: Sequence[int], negative: Sequence[int], topn: int = 10) -> DataFrame:

@@ -15,12 +15,19 @@ TOPIC_LINK_PREFIX = "enwiki:"  # fixed value of the format
 
 
 def parse_corpus(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One JSON document per row of a text column."""
-    return lines.select(F.from_json(column, DOCUMENT).alias("d")).select("d.*")
+    """One JSON document per row of a text column; lines that are no document are dropped (``broken_lines`` counts them)."""
+    return lines.select(F.from_json(column, DOCUMENT).alias("d")).where("d.docId IS NOT NULL").select("d.*")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DOCUMENT).json(path)
+    return spark.read.schema(DOCUMENT).json(path).where("docId IS NOT NULL")
+
+
+def broken_lines(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Number of lines that a parser left out: ``lines, kept, broken``."""
+    kept = parsed.agg(F.count("*")).scalar()
+    counts = lines.agg(F.count("*").alias("lines")).withColumn("kept", kept)
+    return counts.withColumn("broken", F.col("lines") - F.col("kept"))
 
 
 def assemble_body(docs: DataFrame, sep: str = "") -> DataFrame:

@@ -83,18 +83,19 @@ def write_run(scores: DataFrame, path: str) -> None:
     out.sort("doc_id", F.desc("score"), "entity_id").select("value").write.mode("overwrite").text(path)
 
 
+def _parsed(lines: DataFrame, column: str, places: dict[str, tuple[int, str]]) -> DataFrame:
+    """Blank-separated fields by place and type; lines with a missing or wrong field are dropped."""
+    parts = lines.select(F.split(column, " ").alias("p"))
+    fields = {n: F.try_element_at("p", F.lit(i)).try_cast(kind) for n, (i, kind) in places.items()}
+    return parts.select(*[c.alias(n) for n, c in fields.items()]).dropna()
+
+
 def parse_run(lines: DataFrame, column: str = "value") -> DataFrame:
-    p = F.split(column, " ")
-    return lines.select(
-        p[0].cast("long").alias("doc_id"), p[2].cast("long").alias("entity_id"), p[4].cast("double").alias("score")
-    )
+    return _parsed(lines, column, {"doc_id": (1, "long"), "entity_id": (3, "long"), "score": (5, "double")})
 
 
 def parse_qrels(lines: DataFrame, column: str = "value") -> DataFrame:
-    p = F.split(column, " ")
-    return lines.select(
-        p[0].cast("long").alias("doc_id"), p[2].cast("long").alias("entity_id"), p[3].cast("double").alias("grade")
-    )
+    return _parsed(lines, column, {"doc_id": (1, "long"), "entity_id": (3, "long"), "grade": (4, "double")})
 
 
 def parse_lexicon(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -108,8 +109,3 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     from standout.sources.documents import with_line_numbers
 
     return parse_lexicon(with_line_numbers(spark.read.text(path)))
-
-
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Store a table bucketed and sorted on its join key, so later joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

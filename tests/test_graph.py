@@ -55,20 +55,36 @@ def test_shortest_paths_match_floyd_warshall(spark):
     for x in nodes:
         want = sum(v for (a, b), v in d.items() if v < math.inf and x == a) + sum(v for (a, b), v in d.items() if v < math.inf and x == b)
         assert far[x] == want
-    with pytest.raises(RuntimeError):
-        graph.shortest_paths(edges, max_rounds=1)
 
 
-def test_eigenvector_of_small_and_large_path_agree(spark):
+def test_eigenvector_solves_its_equation(spark):
+    path = [(i, i + 1, 1) for i in range(60)]
     edges = edges_of(spark, random_arcs(5)).unionByName(edges_of(spark, [(1, 2, 1), (2, 3, 1)], doc=2))
-    small = {(r["doc_id"], r["node"]): r["centrality"] for r in graph.eigenvector_centrality(edges).collect()}
-    large = {(r["doc_id"], r["node"]): r["centrality"] for r in graph.eigenvector_centrality(edges, dense_nodes=5, tolerance=1e-6).collect()}
-    assert set(small) == set(large)
-    for key, value in small.items():
-        assert value == pytest.approx(large[key], abs=1e-3)
-    for doc in (1, 2):
-        assert sum(v * v for (d, _), v in small.items() if d == doc) == pytest.approx(1.0)
-    assert small[2, 2] == pytest.approx(math.sqrt(0.5))
+    edges = edges.unionByName(edges_of(spark, path, doc=3))
+    got = {(r["doc_id"], r["node"]): r["centrality"] for r in graph.eigenvector_centrality(edges).collect()}
+    near = {}
+    for r in edges.collect():
+        near.setdefault((r["doc_id"], r["src"]), set()).add(r["dst"])
+        near.setdefault((r["doc_id"], r["dst"]), set()).add(r["src"])
+    assert set(got) == set(near)
+    for doc in (1, 2, 3):
+        x = {n: v for (d, n), v in got.items() if d == doc}
+        assert sum(v * v for v in x.values()) == pytest.approx(1.0)
+        image = {n: sum(x[m] for m in near[doc, n]) for n in x}
+        value = sum(image[n] * x[n] for n in x)
+        assert max(abs(image[n] - value * x[n]) for n in x) < 1e-6
+    assert got[2, 2] == pytest.approx(math.sqrt(0.5))
+    assert got[3, 30] == pytest.approx(math.sqrt(2 / 62), abs=1e-6)
+
+
+def test_unfinished_eigenvector_is_an_error(spark):
+    with pytest.raises(Exception, match="no eigenvector"):
+        graph.eigenvector_centrality(edges_of(spark, [(i, i + 1, 1) for i in range(60)]), max_rounds=8).collect()
+
+
+def test_paths_have_no_round_limit(spark):
+    paths = graph.shortest_paths(edges_of(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (5, 6, 1)]))
+    assert paths.agg({"d": "max"}).first()[0] == 5
 
 
 def brute_betweenness(nodes, near):

@@ -122,3 +122,20 @@ def test_models_train_save_and_load(spark, tmp_path):
     assert (importance[0]["name"], importance[0]["rank"]) == ("a", 1)
     worse = {r["name"]: r["increase"] for r in models.permutation_importance(model, df, ["a", "b"]).collect()}
     assert worse["a"] > worse["b"]
+
+
+def test_broken_lines_are_dropped_and_counted(spark):
+    lines = spark.createDataFrame([('{"docId": "1", "title": "a"}',), ("{broken",), ("",), (None,)], "value string")
+    parsed = documents.parse_corpus(lines)
+    assert [r["docId"] for r in parsed.collect()] == ["1"]
+    assert tuple(documents.broken_lines(lines, parsed).first()) == (4, 1, 3)
+    run = spark.createDataFrame([("1 0 2 0 0.5 STANDARD",), ("1 0 x 0 0.5 STANDARD",), ("short",), (None,)], "value string")
+    assert [tuple(r) for r in tables.parse_run(run).collect()] == [(1, 2, 0.5)]
+    qrels = spark.createDataFrame([("1 0 2 3.0",), ("1 0 2",), ("a b c d",)], "value string")
+    assert [tuple(r) for r in tables.parse_qrels(qrels).collect()] == [(1, 2, 3.0)]
+
+
+def test_a_text_that_is_null_keeps_a_row(spark):
+    texts = spark.createDataFrame([(1, None), (2, "good good day")], "doc_id long, text string")
+    rows = {(r["doc_id"], r["stem"]): r["n"] for r in sentiment.text_tokens(texts, ["doc_id"]).collect()}
+    assert rows == {(1, None): 1, (2, "good"): 2, (2, "day"): 1}
