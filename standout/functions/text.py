@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Signs that become one blank each, so offsets stay valid.
@@ -69,6 +69,27 @@ def occurrences(lowered: Column | str, needle: Column) -> Column:
     return F.when((size > 0) & F.contains(lowered, needle), F.when(repeats, ahead).otherwise(plain)).otherwise(none)
 
 
+def with_offsets(rows: DataFrame, sizes: str, name: str, block: int = 128) -> DataFrame:
+    """Add the running sums 0, s1, s1 + s2, ... of an integer array column of at least one element.
+
+    An array is copied when it grows, so sums are made inside blocks and over the blocks' totals.
+    """
+
+    def summed(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+    last = F.ceil(F.size(sizes) / block).cast("int") - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+    rows = rows.withColumn("_inner", F.transform(blocks, summed))
+    rows = rows.withColumn("_outer", summed(F.transform("_inner", lambda a: F.element_at(a, -1))))
+    shifted = F.zip_with(
+        "_inner", F.slice("_outer", F.lit(1), F.size("_inner")),
+        lambda a, start: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda x: x + start),
+    )
+    whole = F.array_append(F.flatten(shifted), F.element_at("_outer", -1))
+    return rows.withColumn(name, whole).drop("_inner", "_outer")
+
+
 def normalise_text(text: Column | str, collapse: bool = False) -> Column:
     """Lower case, punctuation and line signs to blanks; same length unless collapsed."""
     signs = PUNCTUATION + LINE_SIGNS

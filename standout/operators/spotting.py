@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.text import occurrences, sub
+from standout.functions.text import occurrences, sub, with_offsets
 
 MENTION = ["doc_id", "field", "entity_id", "start", "end", "surface"]
 
@@ -103,15 +103,13 @@ def word_ngrams(docs: DataFrame, max_words: int = 4) -> DataFrame:
         F.struct(F.lit("body").alias("field"), F.col("body").alias("text")),
     )
     text = docs.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.text")
-    words = text.withColumn("words", F.split("text", " "))
-    ends = F.aggregate(
-        "words", F.array(F.lit(-1)), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + F.length(w) + 1)
-    )
-    words = words.withColumn("ends", ends)
+    words = text.where("text IS NOT NULL").withColumn("words", F.split("text", " "))
+    words = words.withColumn("sizes", F.transform("words", lambda w: F.length(w) + 1))
+    words = with_offsets(words, "sizes", "starts")
     # each place takes its own few words along, so the arrays of the text are not repeated per row
     places = F.transform(
         "words",
-        lambda w, i: F.struct((F.element_at("ends", i + 1) + 1).alias("start"), F.slice("words", i + 1, F.lit(max_words)).alias("next")),
+        lambda w, i: F.struct(F.element_at("starts", i + 1).alias("start"), F.slice("words", i + 1, F.lit(max_words)).alias("next")),
     )
     rows = words.select("doc_id", "field", F.explode(places).alias("p"))
     rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("p.next"))))
@@ -184,15 +182,12 @@ def spot_html_anchors(pages: DataFrame, titles: DataFrame, prefix: str, html: st
         ),
     )
     rows = pages.select(F.col(key), pieces.alias("pieces"))
-    starts = F.aggregate(
-        "pieces", F.array(F.lit(0)),
-        lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p["surface"])),
-    )
+    rows = rows.where("pieces IS NOT NULL").withColumn("sizes", F.transform("pieces", lambda p: F.length(p["surface"])))
     placed = F.transform(
         "pieces", lambda p, i: F.struct(p["surface"].alias("surface"), p["href"].alias("href"), F.element_at("starts", i + 1).alias("start"))
     )
     anchors = F.filter(placed, lambda p: p["href"].isNotNull())
-    rows = rows.withColumn("starts", starts).select(key, F.explode(anchors).alias("p"))
+    rows = with_offsets(rows, "sizes", "starts").select(key, F.explode(anchors).alias("p"))
     rows = rows.select(
         key,
         F.col("p.start").cast("long").alias("start"),

@@ -105,3 +105,11 @@ def test_stems(spark):
     df = spark.createDataFrame([(w,) for w in STEMS], "w string")
     got = {r["w"]: r["s"] for r in df.select("w", porter.stem(F.col("w")).alias("s")).collect()}
     assert got == STEMS
+
+
+def test_offsets_are_running_sums(spark):
+    from standout.functions.text import with_offsets
+
+    rows = spark.createDataFrame([(n, [i % 5 for i in range(n)]) for n in (1, 2, 127, 128, 129, 1000)], "n int, sizes array<int>")
+    for r in with_offsets(rows, "sizes", "at").collect():
+        assert r["at"] == [sum(r["sizes"][:i]) for i in range(r["n"] + 1)]
