@@ -156,15 +156,33 @@ def spot_title_keys(docs: DataFrame, titles: DataFrame, max_words: int = 4) -> D
     )
 
 
-def _anchor_cuts(html: str) -> Column:
+def _anchor_pieces(pages: DataFrame, html: str) -> DataFrame:
+    """Add ``pieces`` of the HTML between and inside anchors: ``surface``, ``href`` of anchors, and ``size`` in the plain text.
+
+    An anchor that another one interrupts before it is closed has the text up to there as its surface, but that text is said
+    again in the other one and takes no room.
+    """
+    tag = "</?a(?: [^>]*)?>"
     plain = F.regexp_replace(F.regexp_replace(F.trim(F.col(html)), "^<div>", ""), "</div>$", "")
-    return F.split(plain, "(?=<a[ >])|(?<=</a>)", -1)
+    rows = pages.withColumn("cuts", F.split(plain, "(?=<a[ >])|(?<=</a>)", -1)).where("cuts IS NOT NULL")
+
+    def piece(p: Column, i: Column) -> Column:
+        opened, closed = p.rlike("^<a[ >]"), p.endswith("</a>")
+        cut_off = opened & ~closed & F.coalesce(F.get("cuts", i + 1).rlike("^<a[ >]"), F.lit(False))
+        surface = F.regexp_replace(p, tag, "")
+        return F.struct(
+            surface.alias("surface"),
+            F.when(opened & (closed | cut_off), F.regexp_extract(p, '^<a[^>]*href="([^"]*)"', 1)).alias("href"),
+            F.when(cut_off, 0).otherwise(F.length(surface)).alias("size"),
+        )
+
+    return rows.withColumn("pieces", F.transform("cuts", piece)).drop("cuts")
 
 
 def html_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Annotated HTML without its anchor tags."""
-    return pages.withColumn("text", F.array_join(F.transform(
-        _anchor_cuts(html), lambda p: F.regexp_replace(p, "</?a(?: [^>]*)?>", "")), ""))
+    """Annotated HTML without its anchor tags and without the text of interrupted anchors."""
+    kept = F.transform(F.filter("pieces", lambda p: p["size"] > 0), lambda p: p["surface"])
+    return _anchor_pieces(pages, html).withColumn("text", F.array_join(kept, "")).drop("pieces")
 
 
 def spot_html_anchors(pages: DataFrame, titles: DataFrame, prefix: str, html: str = "html", key: str = "page_id") -> DataFrame:
@@ -173,16 +191,8 @@ def spot_html_anchors(pages: DataFrame, titles: DataFrame, prefix: str, html: st
     The target id comes from the href behind ``prefix``, -1 if unknown. The pieces of one page are
     a row-sized array, so offsets are running lengths inside the row.
     """
-    tag = "</?a(?: [^>]*)?>"
-    pieces = F.transform(
-        _anchor_cuts(html),
-        lambda p: F.struct(
-            F.regexp_replace(p, tag, "").alias("surface"),
-            F.when(p.rlike("^<a[ >]") & p.endswith("</a>"), F.regexp_extract(p, '^<a[^>]*href="([^"]*)"', 1)).alias("href"),
-        ),
-    )
-    rows = pages.select(F.col(key), pieces.alias("pieces"))
-    rows = rows.where("pieces IS NOT NULL").withColumn("sizes", F.transform("pieces", lambda p: F.length(p["surface"])))
+    rows = _anchor_pieces(pages.select(key, html), html).select(key, "pieces")
+    rows = rows.withColumn("sizes", F.transform("pieces", lambda p: p["size"]))
     placed = F.transform(
         "pieces", lambda p, i: F.struct(p["surface"].alias("surface"), p["href"].alias("href"), F.element_at("starts", i + 1).alias("start"))
     )

@@ -113,3 +113,12 @@ def test_offsets_are_running_sums(spark):
     rows = spark.createDataFrame([(n, [i % 5 for i in range(n)]) for n in (1, 2, 127, 128, 129, 1000)], "n int, sizes array<int>")
     for r in with_offsets(rows, "sizes", "at").collect():
         assert r["at"] == [sum(r["sizes"][:i]) for i in range(r["n"] + 1)]
+
+
+def test_an_anchor_inside_another(spark):
+    html = '<div><a href="k/North_Sea">North S<a href="k/North_Sea">North Sea</a> and <a href="k/Elbe">the Elbe</a> meet</div>'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, 'no <a href="k/Elbe">end')], "page_id long, html string")
+    titles = spark.createDataFrame([("north_sea", 5), ("elbe", 6)], "title_key string, entity_id long")
+    assert {r["page_id"]: r["text"] for r in spotting.html_text(pages).collect()} == {1: "North Sea and the Elbe meet", 3: "no end"}
+    got = [tuple(r)[1:] for r in spotting.spot_html_anchors(pages, titles, "k/").orderBy("start", "end").collect()]
+    assert got == [(5, 0, 7, "North S"), (5, 0, 9, "North Sea"), (6, 14, 22, "the Elbe")]
