@@ -12,18 +12,18 @@ from standout.plans.inputs import with_inputs
 
 
 def run(spark, sf):
-    """Cheap lines are not retrieved."""
-    return inputs.ranking(spark, sf).where("score >= 0.3").select("doc_id", "entity_id", "score")
+    """All lines; the cheap ones are retrieved under an id that nobody judges."""
+    return inputs.ranking(spark, sf).selectExpr("doc_id", "if(score < 0.3, -entity_id, entity_id) AS entity_id", "score")
 
 
 def qrels(spark, sf):
-    """The dearest lines are not judged."""
-    return inputs.ranking(spark, sf).where("score <= 2.7").select("doc_id", "entity_id", "grade")
+    """All lines; the dearest ones are judged under an id that is not retrieved."""
+    return inputs.ranking(spark, sf).selectExpr("doc_id", "if(score > 2.7, -entity_id, entity_id) AS entity_id", "grade")
 
 
 RUN = (
-    "run AS MATERIALIZED (SELECT doc_id, entity_id, score FROM ranking WHERE score >= 0.3), "
-    "qrels AS MATERIALIZED (SELECT doc_id, entity_id, grade FROM ranking WHERE score <= 2.7), "
+    "run AS MATERIALIZED (SELECT doc_id, CASE WHEN score < 0.3 THEN -entity_id ELSE entity_id END AS entity_id, score FROM ranking), "
+    "qrels AS MATERIALIZED (SELECT doc_id, CASE WHEN score > 2.7 THEN -entity_id ELSE entity_id END AS entity_id, grade FROM ranking), "
     "rk AS MATERIALIZED (SELECT r.*, row_number() OVER (PARTITION BY r.doc_id ORDER BY score DESC, r.entity_id) AS rank, q.grade "
     "FROM run r LEFT JOIN qrels q USING (doc_id, entity_id)), "
     "ev AS MATERIALIZED (SELECT *, coalesce(grade >= 2, FALSE) AS hit, "

@@ -37,7 +37,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("body"), F.lit("([a-z]+)"), 1)
+    words = F.regexp_extract_all(F.lower("body"), F.lit(r"(\p{L}+)"), 1)
     rows = docs(spark, sf).select("doc_id", F.posexplode(words).alias("pos", "w"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("i"), "w")
 
@@ -62,7 +62,7 @@ def doc_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("body"), F.lit("([a-z]+)"), 1)
+    words = F.regexp_extract_all(F.lower("body"), F.lit(r"(\p{L}+)"), 1)
     rows = docs(spark, sf).select(words.alias("a"))
     pairs = F.arrays_zip(F.col("a").alias("w"), F.slice("a", F.lit(2), F.greatest(F.size("a"), F.lit(1))).alias("v"))
     rows = rows.select(F.explode(pairs).alias("p")).select("p.w", "p.v")
@@ -137,7 +137,7 @@ SQL = {
     "docs": "SELECT doc_id, split_part(text, '.', 1) AS title, "
     "substr(text, length(split_part(text, '.', 1)) + 2) AS body FROM documents",
     "tok": "SELECT doc_id, i, a[i] AS w FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM "
-    "(SELECT doc_id, regexp_extract_all(lower(body), '([a-z]+)', 1) AS a FROM docs))",
+    "(SELECT doc_id, regexp_extract_all(lower(body), '(\\p{L}+)', 1) AS a FROM docs))",
     "entity": "SELECT min(doc_id * 1000000 + i) AS entity_id, w AS title, count(DISTINCT doc_id) AS df FROM tok "
     "WHERE length(w) >= 6 GROUP BY w HAVING count(DISTINCT doc_id) >= 0.02 * (SELECT count(*) FROM documents)",
     "doc_entity": "SELECT DISTINCT t.doc_id, e.entity_id, e.title FROM tok t JOIN entity e ON e.title = t.w",

@@ -134,10 +134,12 @@ def _(spark, sf):
 def _topic_lines(spark, sf):
     from standout.operators import kb
 
-    rows = kb.link_rows(inputs.dump(spark, sf)).where("title_key RLIKE '^[a-z]+$'").groupBy("wid").agg(
+    key = F.replace(F.replace(F.col("title_key"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    loud = F.translate(key, "etaoinrs", "ETAOINRS")
+    rows = kb.link_rows(inputs.dump(spark, sf)).groupBy("wid").agg(
         F.concat_ws("", F.sort_array(F.collect_set(F.concat(
-            F.lit("<entity><id>"), F.col("title_key"), F.lit("</id><mention> "), F.col("title_key"),
-            F.lit(" </mention><link>enwiki:"), F.upper("title_key"), F.lit("</link></entity>"))))).alias("items")
+            F.lit("<entity><id>"), key, F.lit("</id><mention> "), key,
+            F.lit(" </mention><link>enwiki:"), loud, F.lit("</link></entity>"))))).alias("items")
     )
     return rows.select(F.concat(
         F.lit("<top><docid> "), F.col("wid").cast("string"), F.lit(" </docid><entities>"), F.col("items"),
@@ -147,7 +149,7 @@ def _topic_lines(spark, sf):
 @query("read_topics", with_inputs("kb_link kb_title kb_canonical",
        "SELECT DISTINCT CAST(l.wid AS VARCHAR) AS \"docId\", l.title_key AS mention, l.title_key, "
        "coalesce(c.canonical_id, t.entity_id) AS entityid FROM kb_link l LEFT JOIN kb_title t USING (title_key) "
-       "LEFT JOIN kb_canonical c ON c.entity_id = t.entity_id WHERE regexp_full_match(l.title_key, '[a-z]+')"))
+       "LEFT JOIN kb_canonical c ON c.entity_id = t.entity_id"))
 def _(spark, sf):
     from standout.operators import kb
 
