@@ -87,7 +87,7 @@ def _(spark, sf):
     rows = inputs.lexicon(spark, sf)
     place = F.row_number().over(Window.orderBy("term"))  # a lexicon is small
     rows = rows.withColumn("line_no", F.col("line_no") * 100_000 + place)
-    rows = rows.withColumn("term", F.concat(F.lit("("), F.upper(F.substring("term", 1, 5)), F.lit(").")))
+    rows = rows.withColumn("term", F.concat(F.lit("("), F.translate(F.substring("term", 1, 5), "aeiou", "AEIOU"), F.lit(").")))
     return sentiment.prepare_lexicon(rows, stem=False)
 
 
