@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from standout.functions.text import round9
 from standout.operators import matrix, scoring, splits, stats, vectors
-from standout.operators import kb
 from standout.plans import inputs
 from standout.plans.catalog import query
 from standout.plans.inputs import with_inputs

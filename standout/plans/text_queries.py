@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from standout.functions.text import (
-    count_in, find_nth, normalise_text, round9, section_bounds, sentence_place,
-)
+from standout.functions.text import find_nth, normalise_text, round9, section_bounds
 from standout.operators import golden as gold
 from standout.operators import kb, light, spotting
 from standout.plans import inputs
