@@ -403,7 +403,12 @@ def fit(docs: DataFrame) -> Tagger | None:
 
 
 _SPAN = T.StructType(
-    [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("base", T.BooleanType())]
+    [
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("base", T.BooleanType()),
+    ]
 )
 
 

@@ -87,9 +87,9 @@ def near_pairs(
     segments differs in at most l * distance / m bits. The leading runs whose budget is below one bit are equal, so
     they are the join key; the later budgets prune the candidates, and the last one is the full distance.
 
-    Keys with more than ``pairwise`` fingerprints are not paired. Their fingerprints meet at shared one-bit variants instead: two fingerprints share one exactly if they differ in at most
-    two bits, and at most 65 share one. That gives a star for each variant, hence the same components, with work in
-    proportion to the fingerprints.
+    Keys with more than ``pairwise`` fingerprints are not paired. Their fingerprints meet at shared one-bit variants instead:
+    two fingerprints share one exactly if they differ in at most two bits, and at most 65 share one. That gives a star for
+    each variant, hence the same components, with work in proportion to the fingerprints.
     """
     if distance != 2:
         raise ValueError("one-bit variants meet at distance 2 only")

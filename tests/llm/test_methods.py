@@ -39,7 +39,7 @@ def test_common_helpers(spark):
     rows = spark.range(5000).withColumn("g", F.col("id") % 2)
     some = common.bounded_sample(rows, "id", 10, "g").collect()
     assert Counter(r["g"] for r in some) == {0: 10, 1: 10}
-    assert [r[0] for r in common.bounded_sample(rows, "id", 7).select("id").collect()].__len__() == 7
+    assert common.bounded_sample(rows, "id", 7).count() == 7
     assert rows.select(common.remainder("id", 7).alias("r")).limit(3).collect()[2]["r"] == zlib.crc32(b"2") % 7
 
 
@@ -289,8 +289,8 @@ def test_round_robin_fills_windows_to_the_shares():
     used = Counter()
     for window in itertools.islice(robin.sequences(20_000), 60):
         share = Counter()
-        for piece, source in ((p, s) for p in window for s in [p[3] // 1]):
-            share[source] += len(piece[2])
+        for _, _, ids, whole, _ in window:
+            share[whole] += len(ids)
         used.update(share)
         assert sum(share.values()) == 2048
     of = {s: sum(n for size, n in used.items() if low <= size < low + 50) for s, low in (("a", 600), ("b", 300), ("c", 100))}
@@ -317,15 +317,19 @@ def test_base_scores_and_model(spark):
 
 
 def test_model_is_a_distribution():
-    """The probabilities of all one-byte words and of the end after one context add up to less than one, and to one with all
-    bytes at the first place."""
+    """All words of one byte, with the end, have less than all probability; the decisions at one place have all of it."""
+    code = scoring.Code(np.bincount(np.frombuffer(b"bcdbc a", np.uint8), minlength=256).astype(float))
+    assert sum(2.0 ** -int(n) for n in code.sizes) == 1.0
+    tables = scoring.count_bits(code, iter([([b"a bc", b"a bd", b"c d"], np.array([3, 2, 1], np.float32))]))
+    model = scoring.Model(tables, code, scoring.Mixer())
     keys = [b"a " + bytes([b]) for b in range(1, 256) if bytes([b]).split() == [bytes([b])]]
-    tables = scoring.count_bits(iter([([b"a bc", b"a bd", b"c d"], np.array([3, 2, 1], np.float32))]))
-    model = scoring.Model(tables, scoring.Mixer())
-    total = sum(10 ** model.logs(keys)) + 10 ** model.logs([b"a "])[0]
-    assert 0 < total < 1
-    part = next(scoring.decisions([b"a bc"]))
-    assert part.bit[0].tolist() == [0, 1, 1, 0, 0, 0, 1, 0] and part.node[0].tolist()[:3] == [1, 2, 5]
+    assert 0 < sum(10 ** model.logs(keys)) + 10 ** model.logs([b"a "])[0] < 1
+    parts = {}
+    for key in keys:
+        part = next(scoring.decisions([key], code))
+        for n in range(int(code.sizes[key[2]])):
+            parts.setdefault(int(part.node[n]), []).append(int(part.bit[n]))
+    assert all(set(b) <= {0, 1} for b in parts.values()) and len(parts) > 240
 
 
 PATTERNS = {
