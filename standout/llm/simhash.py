@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from standout.llm.catalog import query
 from standout.llm.common import stored, table
 from standout.llm.components import components
+from standout.llm.near_copies import shape_roots, sketches
 
 SEED = 42
 SHINGLE = 3
@@ -149,13 +150,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that of the least doc_id, then of the least hash of the text.
 
+    Documents are linked if their five-word shingles have a Jaccard similarity of 0.8 or more; texts without words are alike.
     Rows without a doc_id stay only where a component has no other. Of repeated rows one stays. All columns are kept.
     """
     mark = F.crc32(F.coalesce("text", F.lit("")))
-    marked = docs.select("doc_id", mark.alias("mark"), _fingerprint(F.col("text")).alias("bits"))
-    marked = stored(marked, "simhash-bits")
-    _, roots = _roots(marked)
-    named = marked.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    marked = stored(sketches(docs), "near-sketches")
+    named = marked.join(shape_roots(docs, marked), "shape", "left").withColumn("root", F.coalesce("root", "shape"))
     one = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     kept = named.groupBy("root").agg(F.min(one).alias("one")).select(
         F.col("one.doc_id").alias("_kept_id"), F.col("one.mark").alias("_kept_mark")

@@ -82,6 +82,30 @@ def test_links_of_fingerprints(spark, pairwise):
         assert {tuple(r) for r in edges.collect()} == wanted
 
 
+def test_near_copies_are_those_of_brute_force(spark):
+    """One document of each component of texts with five-word shingles of a Jaccard similarity from 0.8 to 1."""
+    rng = random.Random(12)
+    texts = []
+    for n, copies in ((3, 2), (40, 6), (120, 12), (400, 40), (120, 12), (2500, 4)):
+        words = sentence(rng, n).split()
+        for _ in range(copies):
+            own = list(words)
+            for _ in range(rng.randint(0, max(1, n // 30))):
+                own[rng.randrange(len(own))] = sentence(rng, 1)
+            texts.append(" ".join(own).upper() if rng.random() < 0.3 else " ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    found = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            found += sets[i] != sets[j]
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    assert found > 50 and 8 < len(set(root)) < len(texts)
+    got = {r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()}
+    assert got == set(root)
+
+
 def test_chain_budgets():
     assert simhash.chain_budgets(2, 7) == [0, 0, 0, 1, 1, 1, 2]
     masks = simhash.segment_masks()
