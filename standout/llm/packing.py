@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -33,8 +35,8 @@ class CachedTokenizer:
     """Ids of whole texts by a byte-level vocabulary of ranks, with the ids of space-separated units kept.
 
     Such a tokenizer never joins characters across a single space between two others, so a text is the sequence of its units,
-    each with the space before it. Texts with white space next to such a space are encoded whole. Special tokens in a text are
-    ordinary text.
+    each with the space before it. Texts with white space next to such a space are encoded whole. Texts are cut at the added
+    tokens of the tokenizer file beside the ranks, which have ids of their own.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,14 +44,24 @@ class CachedTokenizer:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.ids = own.encode_ordinary
-        self.kind = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens are matched as they are only")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        self.kind = np.dtype("<u2") if max(*ranks.values(), *self.added.values()) < 1 << 16 else np.dtype("<u4")
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for word, rank in ranks.items():
             self.bytes_of[rank] = len(word)
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.ids(text), self.kind).tobytes()
+        ids, at = [], 0
+        for found in self.cut.finditer(text):
+            ids += [*self.ids(text[at : found.start()]), self.added[found.group()]]
+            at = found.end()
+        return np.array([*ids, *self.ids(text[at:])] if at else self.ids(text), self.kind).tobytes()
 
     def _learn(self, units: list[str]) -> None:
         """Encode units of at least one character, each with its space, as one text and cut the ids at their bytes."""
@@ -68,6 +80,9 @@ class CachedTokenizer:
         split: list[list[str] | None] = []
         missing: dict[str, None] = {}
         for text in texts:
+            if self.cut.search(text):
+                split.append(None)
+                continue
             units = text.split(" ")
             new = [u for u in units[1:] if u not in known]
             if _loose(units[0]) or any(map(_loose, new)):

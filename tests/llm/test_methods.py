@@ -281,6 +281,20 @@ def test_ids_are_those_of_the_tokenizer(spark):
         assert np.frombuffer(ids, own.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_added_tokens_have_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.CachedTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(2)
+    signs = [" ", "  ", "\n", "a", "word", "é", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", "don't", "日本"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + ["a <|endoftext|> b"]
+    got = [np.frombuffer(ids, own.kind).tolist() for ids in own.encode(texts)]
+    assert got == [[*plain.encode(text, add_special_tokens=False).ids, 1] for text in texts]
+    assert got[-1] == [64, 220, 50256, 275, 1]
+
+
 def test_packing_is_whole_and_keeps_proportions(spark):
     rng = random.Random(9)
     texts = [sentence(rng, rng.choice([0, 3, 80, 400, 3000])) for _ in range(300)]
