@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,22 @@ def bounded_sample(df: DataFrame, key: str, rows: int, group: str | None = None)
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of a document's id as text, modulo ``divisor``; a missing id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % divisor
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], place: str, size: str) -> DataFrame:
+    """``df``, stored, with each row's place in its group from 0 and the number of the group's rows, both long.
+
+    Rows are sorted over all partitions by group and order (ascending, NULLs of ``order`` first; values of ``group`` are not
+    NULL), so a group of any size spreads over as many tasks as its rows need. A place is the row's place in its partition
+    plus the rows of the group in earlier partitions; that table has a row for each partition and each group.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    rows = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    parts = parts.select(*group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias(size))
+    rows = rows.join(stored(parts, "numbered-parts"), [*group, "_part"]).withColumn(place, F.col("_at") + F.col("_shift"))
+    return rows.select(*df.columns, place, size)
