@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["simhash", "mixing", "warc", "language", "fingerprints", "pii", "packing", "neighbours", "scoring", "substrings", "merkle", "divergence"]
+MODULES = ["simhash", "mixing", "warc", "language", "fingerprints", "pii", "packing", "neighbours", "scoring", "substrings", "merkle", "divergence", "repair"]
 
 
 def workers_import(spark: SparkSession) -> None:

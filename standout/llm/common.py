@@ -27,13 +27,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/standout-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "zstd", folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and later reads take only their columns."""
-    path = new_folder(df.sparkSession, label)
+    path = folder or new_folder(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unsigned_share(hashed: Column) -> Column:
     """A 64-bit hash as a number from 0 to 1."""
     return hashed.cast("double") / F.lit(2.0**64) + F.lit(0.5)
