@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from standout.llm.catalog import query
-from standout.llm.common import new_folder, partitions, stored, table
+from standout.llm.common import new_folder, partitions, removed, stored, table
 
 #: The id that ends every document.
 END = 1
