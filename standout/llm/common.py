@@ -34,11 +34,22 @@ def stored(df: DataFrame, label: str, codec: str = "zstd", folder: str | None =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def made(spark: SparkSession, folder: str) -> None:
+    """Make a folder, so that it is there even if no task writes to it."""
+    store, path = _place(spark, folder)
+    store.mkdirs(path)
+
+
 def removed(spark: SparkSession, *folders: str) -> None:
     """Delete stored tables that nothing reads any more."""
     for folder in folders:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = _place(spark, folder)
+        store.delete(path, True)
 
 
 def unsigned_share(hashed: Column) -> Column:

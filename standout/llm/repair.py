@@ -19,18 +19,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from standout.llm.catalog import query
-from standout.llm.common import new_folder, partitions, removed, stored, table
+from standout.llm.common import made, new_folder, partitions, removed, stored, table
 
 #: The id that ends every document.
 END = 1
 #: A pair is replaced while it stands so often in a shard at places that do not overlap; a rule takes the room of two symbols.
 LEAST = 8
+#: The last round is the one that replaces fewer than 1 / GAIN of the symbols.
+GAIN = 256
 #: A shard is closed once it has so many ids.
 SHARD_IDS = 1 << 21
 #: Ids of whole documents that a reader expands at once.
 READ_IDS = 1 << 18
-#: Units and pieces whose ids a worker keeps, letter runs that are encoded as one text, and characters of texts that are encoded at once.
-_CACHE, _RUN, _CHARS = 900_000, 256, 1 << 21
+#: Units and pieces whose ids a worker keeps, letter runs that are encoded as one text, and bytes of texts that are encoded at once.
+_CACHE, _RUN, _BYTES = 800_000, 256, 1 << 21
 _MAGIC, _HEAD = b"REPAIR01", struct.Struct("<8s6q")
 _BUCKETS = 1 << 20
 _WRITTEN = "file string, documents long, ids long, symbols long, rules long"
@@ -38,15 +40,22 @@ _WRITTEN = "file string, documents long, ids long, symbols long, rules long"
 
 class PieceTokenizer:
     """Ids of whole texts by a tokenizer that cuts lower-cased text into pieces (letter runs, single digits, marks, the endings of
-    contractions) and never joins across them, with the ids of units (between white space) and pieces kept.
+    contractions) and never joins across them, with the ids of units (between white space) and of pieces kept.
 
-    A letter run ends with the only token of it that is marked as a word's end, so many new ones are encoded as one text and cut
-    there; where the cuts do not fit them, each is encoded alone. Texts in which cutting first could differ are encoded whole:
-    those with an added token, with characters that are white space to Python only, not in composed form, or with the one
-    letter whose lower case is a letter and a mark.
+    Units of up to 16 bytes are found by their bytes in a hash table of numpy arrays, all units of many texts at once; longer
+    ones in a dictionary. A letter run ends with the only token of it that is marked as a word's end, so many new ones are
+    encoded as one text and cut there; where the cuts do not fit them, each is encoded alone. Texts in which cutting first could
+    differ are encoded whole: those with an added token, with NUL (it fills up keys) or characters that are white space to Python only, not in composed
+    form, or with the one letter whose lower case is a letter and a mark.
     """
 
     PIECES = re.compile(r"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    #: Stands behind every text and becomes the end id; texts with this byte are encoded whole.
+    STOP = b"\x1c"
+    SLOTS = 1 << 21
+    SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+    LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
     def __init__(self, path: str) -> None:
         own = Tokenizer.from_file(path)
@@ -55,30 +64,75 @@ class PieceTokenizer:
         if model["model"]["end_of_word_suffix"] != "</w>" or [n["type"] for n in model["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("not a tokenizer of lower-cased words with ends")
         self.encode_all = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-        self.odd = [t["content"] for t in model["added_tokens"]] + [chr(c) for c in range(0x1C, 0x20)] + ["\u0130"]
+        self.odd = [t["content"].encode() for t in model["added_tokens"]] + [bytes([c]) for c in (0, *range(0x1C, 0x20))] + ["\u0130".encode()]
         self.size = own.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
         for word, number in own.get_vocab().items():
             self.ends[number] = word.endswith("</w>")
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, bytes] = {}
+        self.long: dict[bytes, int] = {}
+        self.keys = np.zeros((self.SLOTS, 2), np.uint64)
+        self.unit_at = np.full(self.SLOTS, -1, np.int32)
+        self.units, self.firsts, self.counts, self.flat, self.used = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind), 0
+        low, high = self._key(self.STOP)
+        self._place(np.array([low], np.uint64), np.array([high], np.uint64), self._add([self._bytes([END])]))
+
+    @staticmethod
+    def _key(unit: bytes) -> tuple[int, int]:
+        return int.from_bytes(unit[:8], "little"), int.from_bytes(unit[8:], "little")
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _units(self, text: str) -> list[str] | None:
-        """What stands between white space in a text, None for one that must be encoded whole."""
-        if any(o in text for o in self.odd):
-            return None
-        if text.isascii():
-            return text.lower().split()
-        return text.split() if unicodedata.is_normalized("NFC", text) else None
-
-    def _learn(self, units: set[str]) -> None:
-        """Encode the new pieces of new units and join them."""
-        cut = [(u, self.PIECES.findall(u)) for u in units if not u.isalpha()]
-        new = {u for u in units if u.isalpha()}
-        new.update([p for _, pieces in cut for p in pieces if p not in self.known])
+    def _add(self, coded: list[bytes]) -> np.ndarray:
+        """Keep the ids of new units and return the units' numbers."""
+        data = np.frombuffer(b"".join(coded), self.kind)
+        sizes = np.array([len(c) // self.kind.itemsize for c in coded], np.int64)
+        while self.units + len(coded) > len(self.firsts):
+            self.firsts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.firsts, self.counts))
+        while self.used + len(data) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        numbers = np.arange(self.units, self.units + len(coded))
+        self.firsts[numbers], self.counts[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(data)] = data
+        self.units, self.used = self.units + len(coded), self.used + len(data)
+        return numbers
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(43)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of units by their bytes, -1 for new ones; slots are tried one after the other."""
+        out, rest, slot = np.full(len(low), -1, np.int64), np.arange(len(low)), self._slot(low, high)
+        while len(rest):
+            there = self.unit_at[slot]
+            hit = (there >= 0) & (self.keys[slot, 0] == low[rest]) & (self.keys[slot, 1] == high[rest])
+            out[rest[hit]] = there[hit]
+            on = (there >= 0) & ~hit
+            rest, slot = rest[on], (slot[on] + 1) % self.SLOTS
+        return out
+
+    def _place(self, low: np.ndarray, high: np.ndarray, numbers: np.ndarray) -> None:
+        """Put distinct new units into free slots; of those that want one slot the last gets it, the others go on."""
+        slot = self._slot(low, high)
+        while len(numbers):
+            free = self.unit_at[slot] < 0
+            self.unit_at[slot[free]] = numbers[free]
+            got = free & (self.unit_at[slot] == numbers)
+            self.keys[slot[got], 0], self.keys[slot[got], 1] = low[got], high[got]
+            low, high, numbers, slot = low[~got], high[~got], numbers[~got], (slot[~got] + 1) % self.SLOTS
+
+    def _coded(self, units: list[str]) -> list[bytes]:
+        """Ids of units, from those of their pieces; new pieces are encoded."""
+        known = self.pieces
+        cut = [[u] if u.isalpha() else self.PIECES.findall(u) for u in units]
+        new = {p for pieces in cut for p in pieces if p not in known}
         alone = [p for p in new if not p.isalpha()]
         runs = [p for p in new if p.isalpha()]
         parts = [runs[i : i + _RUN] for i in range(0, len(runs), _RUN)]
@@ -89,32 +143,63 @@ class PieceTokenizer:
                 alone += part
                 continue
             data = numbers.tobytes()
-            self.known.update((u, data[a:b]) for u, a, b in zip(part, [0, *cuts], cuts))
-        self.known.update(zip(alone, map(self._bytes, self.encode_all(alone))))
-        for unit, pieces in cut:
-            self.known[unit] = b"".join([self.known[p] for p in pieces])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers, with the end id."""
-        if len(self.known) > _CACHE:
-            self.known = {}
-        known = self.known
-        split = [self._units(t) for t in texts]
-        found = [None if units is None else list(map(known.get, units)) for units in split]
-        missing: set[str] = set()
-        for units, ids in zip(split, found):
-            if ids is not None and None in ids:
-                missing.update([u for u, x in zip(units, ids) if x is None])
-        if missing:
-            self._learn(missing)
-        whole = iter(self.encode_all([t for t, units in zip(texts, split) if units is None]))
-        out, end = [], self._bytes([END])
-        for units, ids in zip(split, found):
-            if ids is None:
-                out.append(self._bytes(next(whole)) + end)
-            else:
-                out.append(b"".join([known[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids) + end)
-        return out
+            known.update((u, data[a:b]) for u, a, b in zip(part, [0, *cuts], cuts))
+        known.update(zip(alone, map(self._bytes, self.encode_all(alone))))
+        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in cut]
+
+    def _cuttable(self, text: bytes) -> bool:
+        if any(o in text for o in self.odd):
+            return False
+        return text.isascii() or unicodedata.is_normalized("NFC", text.decode())
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, given in UTF-8, as little-endian numbers, with the end id."""
+        if self.units > _CACHE or len(self.pieces) > _CACHE:
+            self._forget()
+        cuttable = [self._cuttable(t) for t in texts]
+        text = b" " + b"".join([t + b" " + self.STOP + b" " for t, c in zip(texts, cuttable) if c]).translate(self.LOWER)
+        data = np.frombuffer(text + bytes(16), np.uint8)
+        edges = np.diff(self.SPACE[data[: len(text)]].view(np.int8))
+        starts, ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
+        sizes = ends - starts
+        short = sizes <= 16
+        at, size = starts[short], sizes[short]
+        words = np.ndarray((len(data) - 7,), np.uint64, data, 0, (1,))
+        low = words[at] & self.HEADS[np.minimum(size, 8)]
+        high = words[at + 8] & self.HEADS[np.maximum(size - 8, 0)]
+        numbers = np.empty(len(starts), np.int64)
+        found = self._find(low, high)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            _, first, again = np.unique(low[new] * np.uint64(0x9E3779B97F4A7C15) + high[new], return_index=True, return_inverse=True)
+            one = new[first]
+            fits = (low[new] == low[one][again]) & (high[new] == high[one][again])
+            units = [text[a : a + n].decode() for a, n in zip(at[one].tolist(), size[one].tolist())]
+            placed = self._add(self._coded(units))
+            self._place(low[one], high[one], placed)
+            found[new[fits]] = placed[again[fits]]
+            for k in new[~fits].tolist():  # two new units of one hash
+                if (now := int(self._find(low[k : k + 1], high[k : k + 1])[0])) < 0:
+                    added = self._add(self._coded([text[at[k] : at[k] + size[k]].decode()]))
+                    self._place(low[k : k + 1], high[k : k + 1], added)
+                    now = int(added[0])
+                found[k] = now
+        numbers[short] = found
+        wide = np.flatnonzero(~short)
+        if len(wide):
+            units = [text[a:b] for a, b in zip(starts[wide].tolist(), ends[wide].tolist())]
+            fresh = [u for u in dict.fromkeys(units) if u not in self.long]
+            if fresh:
+                self.long.update(zip(fresh, self._add(self._coded([u.decode() for u in fresh])).tolist()))
+            numbers[wide] = [self.long[u] for u in units]
+        counts = self.counts[numbers]
+        upto = np.cumsum(counts)
+        ids = self.flat[np.repeat(self.firsts[numbers] - upto + counts, counts) + np.arange(upto[-1] if len(upto) else 0)]
+        stops = (upto[numbers == 0] * self.kind.itemsize).tolist()
+        coded = memoryview(ids.tobytes())
+        cut = iter([bytes(coded[a:b]) for a, b in zip([0, *stops], stops)])
+        whole = iter(self.encode_all([t.decode() for t, c in zip(texts, cuttable) if not c]))
+        return [next(cut) if c else self._bytes([*next(whole), END]) for c in cuttable]
 
 
 _loaded: dict[str, PieceTokenizer] = {}
@@ -157,44 +242,47 @@ class Grammar:
         return np.where(inner, self.lengths[np.where(inner, symbols - self.base, 0)], 1)
 
     @staticmethod
-    def of(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
-        """Replace frequent pairs by new symbols, round by round, until none is left.
+    def of(ids: np.ndarray, base: int, least: int = LEAST, gain: int = GAIN) -> Grammar:
+        """Replace frequent pairs by new symbols, round by round, until none is left or a round shortens by less than 1 / ``gain``.
 
         A round counts the pairs and takes, of any places that overlap, that of the more frequent pair (of a run of one pair
         every second place). Pairs left with fewer than ``least`` places wait for a later round. Pairs are counted in hash
         buckets, which orders them; what is replaced is counted exactly.
         """
         seq, rules, size = ids.astype(np.uint32), [], base
+        one = np.zeros(_BUCKETS, np.uint64)
         while len(seq) > 1:
             bucket = ((seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.int64)
-            counts = np.bincount(bucket, minlength=_BUCKETS)
-            rank = (np.where(counts >= least, counts, 0) << 20 | np.arange(_BUCKETS))[bucket]
-            rank[rank < _BUCKETS] = -1
+            counts = np.minimum(np.bincount(bucket, minlength=_BUCKETS), 2047).astype(np.int32)
+            rank = np.where(counts >= least, counts << 20 | np.arange(_BUCKETS, dtype=np.int32), -1)[bucket]
             after, before = np.append(rank[1:], -1), np.insert(rank[:-1], 0, -1)
             best = (rank >= 0) & (rank >= after) & (rank >= before)
             twice = np.flatnonzero(best & ((rank == after) | (rank == before)))
             if len(twice):  # runs of one bucket: whole ones only, every second place
                 opens = np.insert((np.diff(twice) > 1) | (rank[twice[1:]] != rank[twice[:-1]]), 0, True)
                 starts = np.flatnonzero(opens)
-                of_run = np.cumsum(opens) - 1
+                run = np.cumsum(opens) - 1
                 first, last = twice[starts], twice[np.append(starts[1:], len(twice)) - 1]
                 whole = (before[first] < rank[first]) & (after[last] < rank[last])
-                best[twice] = whole[of_run] & ((twice - first[of_run]) % 2 == 0)
+                best[twice] = whole[run] & ((twice - first[run]) % 2 == 0)
             places = np.flatnonzero(best)
-            keys = seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1]
-            pairs, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-            enough = n >= least
-            if not enough.any():
+            keys, of = seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1], bucket[places]
+            one[of] = keys  # one pair of each bucket; others of it wait for the next round
+            own = one[of] == keys
+            places, of = places[own], of[own]
+            enough = np.bincount(of, minlength=_BUCKETS) >= least
+            own = enough[of]
+            places, of = places[own], of[own]
+            if not len(places):
                 break
-            number = np.cumsum(enough) - 1 + size
-            kept = enough[which]
-            places, which = places[kept], which[kept]
-            pairs = pairs[enough]
+            pairs, number = one[enough], np.cumsum(enough) - 1 + size
             rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
-            seq[places] = number[which]
+            seq[places] = number[of]
             stays = np.ones(len(seq), bool)
             stays[places + 1] = False
             seq, size = seq[stays], size + len(pairs)
+            if len(places) * gain < len(stays):
+                break
         return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), seq.astype(np.int64))
 
     def __len__(self) -> int:
@@ -203,6 +291,8 @@ class Grammar:
     def decode(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop``: symbols outside are never expanded, those inside level by level to their places."""
         out = np.zeros(stop - start, np.int64)
+        if stop <= start:
+            return out
         first, last = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left")
         symbols = self.symbols[first : last + 1]
         at = self.ends[first : last + 1] - self._of(symbols) - start
@@ -288,12 +378,12 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer_at(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             at = 0
             while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) < _CHARS):
-                    chars += len(texts[stop])
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size + len(texts[stop]) < _BYTES):
+                    size += len(texts[stop])
                     stop += 1
                 ids = own.encode(texts[at:stop])
                 ties = pa.array([zlib.crc32(x) for x in ids], pa.int64())
@@ -321,6 +411,7 @@ def write_ids(
     name when it is complete. ``folder`` must be a place that all executors reach. Only doc_id and text are read.
     """
     spark = docs.sparkSession
+    made(spark, folder)
     scratch = new_folder(spark, "ids")
     rows = stored(token_ids(docs, path), "ids", folder=scratch)
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
