@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,7 +184,8 @@ class Audit:
     row, rows, terms, zero`` of every group, with its probability of a term that it does not have.
     """
 
-    def __init__(self, docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> None:
+    def __init__(self, docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, side: int = SIDE) -> None:
+        self.side = side
         counted = stored(term_counts(docs), "divergence-counts")
         kept = counted.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"))
         kept = kept.where(F.col("docs") >= least_documents).drop("docs")
@@ -206,15 +207,16 @@ class Audit:
     def trees(self) -> DataFrame:
         """``(lang, across, down, tree, cells)``: a quadtree for each block of the matrix that is not all zero."""
 
+        side = self.side
+
         def build(block: pd.DataFrame) -> pd.DataFrame:
-            side = SIDE - 1
-            rows, columns = (block[c].to_numpy() & side for c in ("row", "column"))
-            tree = QuadTree.build(rows, columns, block["p"].to_numpy().astype(np.int32))
+            rows, columns = (block[c].to_numpy() % side for c in ("row", "column"))
+            tree = QuadTree.build(rows, columns, block["p"].to_numpy().astype(np.int32), side)
             first = block.iloc[0]
-            values = [first["lang"], first["row"] // SIDE, first["column"] // SIDE, tree.to_bytes(), tree.values.tobytes()]
+            values = [first["lang"], first["row"] // side, first["column"] // side, tree.to_bytes(), tree.values.tobytes()]
             return pd.DataFrame([values], columns=["lang", "down", "across", "tree", "cells"])
 
-        blocks = self.cells.select("lang", "row", "column", "p").groupBy("lang", _block("row"), _block("column"))
+        blocks = self.cells.select("lang", "row", "column", "p").groupBy("lang", _block("row", side), _block("column", side))
         return blocks.applyInPandas(build, "lang string, down long, across long, tree binary, cells binary")
 
     def pairs(self) -> DataFrame:
@@ -224,7 +226,7 @@ class Audit:
         sum for each pair of rows. The columns of all other blocks are all zero for both groups and priced at once.
         """
         trees = stored(self.trees(), "divergence-trees")
-        down = _block("row")
+        down = _block("row", self.side)
         profiles = self.groups.groupBy("lang", down.alias("down")).agg(
             F.array_sort(F.collect_list(F.struct("row", "zero"))).alias("zeros"), F.first("terms").alias("terms")
         )
@@ -236,7 +238,7 @@ class Audit:
             tree = trees.select("lang", "across", F.col("down").alias(s), F.col("tree").alias(f"tree_{s}"), F.col("cells").alias(f"cells_{s}"))
             rows = profiles.select("lang", F.col("down").alias(s), F.col("zeros").alias(f"zeros_{s}"), "terms")
             units = units.join(tree, ["lang", "across", s], "left").join(rows if s == "a" else rows.drop("terms"), ["lang", s])
-        sums = units.mapInArrow(_descend, "lang string, row_a long, row_b long, value long, width long")
+        sums = units.mapInArrow(_descent(self.side), "lang string, row_a long, row_b long, value long, width long")
         sums = sums.groupBy("lang", "row_a", "row_b").agg(F.sum("value").alias("value"), F.sum("width").alias("width"))
         one, two = (self.groups.select("lang", *[F.col(c).alias(f"{c}_{s}") for c in ("source", "row", "zero")], "terms") for s in "ab")
         both = one.join(two.drop("terms"), "lang").where("row_a < row_b").join(sums, ["lang", "row_a", "row_b"], "left")
@@ -252,31 +254,34 @@ class Audit:
         return more.select("lang", "source", "term", divergence(F.col("p"), F.col("q")).alias("value"))
 
 
-def _block(column: str) -> Column:
-    return F.shiftright(F.col(column), SIDE.bit_length() - 1)
+def _block(column: str, side: int) -> Column:
+    return F.shiftright(F.col(column), side.bit_length() - 1)
 
 
-def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _descent(side: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The sums of each pair of blocks, a row for each pair of their rows."""
-    for batch in batches:
-        for unit in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
-            a, b = (
-                QuadTree.from_bytes(unit[f"tree_{s}"], np.frombuffer(unit[f"cells_{s}"], np.int32).astype(np.int64)) if unit[f"tree_{s}"] else None
-                for s in "ab"
-            )
-            width, same = min(SIDE, unit["terms"] - unit["across"] * SIDE), unit["a"] == unit["b"]
-            zeros = [np.array(unit[f"zeros_{s}"], np.int64) for s in "ab"]
-            value = pair_values(a, a if same else b, *zeros, width, same)
-            above = np.triu_indices(len(zeros[0]), 1) if same else tuple(x.ravel() for x in np.indices(value.shape))
-            n = len(above[0])
-            for at in range(0, n, STEP):
-                rows = [x[at : at + STEP] for x in above]
-                columns = [unit["a"] * SIDE + rows[0], unit["b"] * SIDE + rows[1], value[rows[0], rows[1]], np.full(len(rows[0]), width)]
-                names = ["lang", "row_a", "row_b", "value", "width"]
-                yield pa.RecordBatch.from_arrays([pa.array([unit["lang"]] * len(rows[0])), *map(pa.array, columns)], names)
-
-
-def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP) -> DataFrame:
+    names = ["lang", "row_a", "row_b", "value", "width"]
+
+    def tree(unit: dict, s: str) -> QuadTree | None:
+        data, cells = unit[f"tree_{s}"], unit[f"cells_{s}"]
+        return None if data is None else QuadTree.from_bytes(data, np.frombuffer(cells, np.int32).astype(np.int64), side)
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+                width, same = min(side, unit["terms"] - unit["across"] * side), unit["a"] == unit["b"]
+                zeros = [np.array(unit[f"zeros_{s}"], np.int64) for s in "ab"]
+                value = pair_values(tree(unit, "a"), tree(unit, "b"), *zeros, width, same, side)
+                above = np.triu_indices(len(zeros[0]), 1) if same else tuple(x.ravel() for x in np.indices(value.shape))
+                for at in range(0, len(above[0]), STEP):
+                    rows = [x[at : at + STEP] for x in above]
+                    sums = [unit["a"] * side + rows[0], unit["b"] * side + rows[1], value[rows[0], rows[1]], np.full(len(rows[0]), width)]
+                    yield pa.RecordBatch.from_arrays([pa.array([unit["lang"]] * len(rows[0])), *map(pa.array, sums)], names)
+
+    return descend
+
+
+def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP, side: int = SIDE) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: for each group of language and source how far the others of its language are
     (part ``pair``, all of them) and the terms that set it apart from its language (part ``term``, the first ``top``).
 
@@ -286,7 +291,7 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     terms and languages without kept ones have pairs too; repeated rows count each; an empty table gives no rows. Other
     columns are not read.
     """
-    found = Audit(docs, least_documents)
+    found = Audit(docs, least_documents, side)
     place = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = found.pairs().select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
     pairs = pairs.withColumn("rank", F.row_number().over(place))

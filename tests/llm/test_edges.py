@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from standout.llm import fingerprints, language, mixing, neighbours, packing, pii, scoring, simhash, substrings, warc
+from standout.llm import common, divergence, fingerprints, language, merkle, mixing, neighbours, packing, pii, repair, scoring, simhash, substrings, warc
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size long, bits long, part int, kind int, "
@@ -34,6 +34,11 @@ AWKWARD = [
     (9, "日本語 текст 😀 é", "en", "ü"),
 ]
 
+def reread(docs):
+    folder = common.new_folder(docs.sparkSession, "test")
+    return repair.read_ids(repair.write_ids(docs, folder), folder)
+
+
 TABLES = {
     "simhash": lambda d: simhash.near_duplicates(d),
     "one_of_each": lambda d: simhash.one_of_each(d),
@@ -45,8 +50,11 @@ TABLES = {
     "scoring": lambda d: scoring.score(d),
     "pii": lambda d: pii.detect(d),
     "language": lambda d: language.identify(d),
+    "merkle": lambda d: merkle.verified(merkle.manifest(d), F.col("leaf")),
+    "divergence": lambda d: divergence.audit(d, least_documents=1),
+    "repair": lambda d: reread(d),
 }
-PER_ROW = ["simhash", "fingerprints", "mixing", "scoring", "pii", "language"]
+PER_ROW = ["simhash", "fingerprints", "mixing", "scoring", "pii", "language", "merkle", "repair"]
 
 
 @pytest.mark.parametrize("name", TABLES)
