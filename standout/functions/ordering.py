@@ -1,7 +1,8 @@
-"""Row numbers and running sums that hold when one group has a third of all rows.
+"""Row numbers and running sums over groups of any size, by one method.
 
-Group sizes are measured first, by one map-side combined count. Where all groups fit a task a plain
-window does the work. Otherwise the larger groups are cut at quantiles of their values.
+Rows are sorted over all partitions by group and order and numbered inside their partition; what a group has in
+earlier partitions, a table of one row for each partition and group, is added. So a group with a third of all rows is
+spread over a third of the tasks. Running sums carry totals from chunk to chunk of the ranks.
 """
 
 from __future__ import annotations
@@ -14,85 +15,37 @@ from pyspark.sql import functions as F
 
 from standout.session import cut_lineage
 
-HOT_ROWS = 2_000_000
-SLABS = 256
+#: Ranks that one window of a running sum covers.
+CHUNK = 100_000
 
 
-def has_hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether a group has more rows than one task should sort."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
-    return (sizes.first()["n"] or 0) > hot_rows
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Exact ``row_number`` per group (NULL is a group) in ascending order, NULLs first.
 
-
-def ordinal(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    tie: Column,
-    name: str,
-    hot_rows: int = HOT_ROWS,
-    hot: bool | None = None,
-) -> DataFrame:
-    """Exact ``row_number`` per group by value descending, then tie ascending (both numeric).
-
-    ``hot`` tells whether a group is larger than ``hot_rows``; it is measured where not given.
+    The sorted rows are stored once, because the places that tasks give must not change when one runs again.
     """
+    named = {f"_o{i}": c for i, c in enumerate(order)}
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *named)]
+    rows = df.withColumns(named).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = cut_lineage(rows.withColumn("_at", F.monotonically_increasing_id()).drop(*named))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
+    parts = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), shift.alias("_shift"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_part") == F.col("_p"))
+    return rows.join(parts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def ordinal(df: DataFrame, keys: Sequence[str], value: Column, tie: Column, name: str) -> DataFrame:
+    """Exact ``row_number`` per group by value descending, then tie ascending."""
+    return numbered(df, keys, [-value.cast("double"), tie], name)
+
+
+def running(df: DataFrame, keys: Sequence[str], rank: str, sums: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """Running sums in the order of ``rank``, which numbers the rows of a group from 1."""
     keys = list(keys)
-    base = df.withColumn("_v", -value.cast("double")).withColumn("_t", tie)
-    columns = [*df.columns, name]
-    if hot is None:
-        hot = has_hot_groups(df, keys, hot_rows)
-    plain = Window.partitionBy(*keys).orderBy("_v", "_t")
-    if not hot:
-        return base.withColumn(name, F.row_number().over(plain).cast("long")).select(*columns)
-    base = cut_lineage(base)
-    large = base.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
-    cold = base.join(large, keys, "left_anti").withColumn(name, F.row_number().over(plain).cast("long"))
-    return cold.select(*columns).unionByName(_in_slabs(base.join(large, keys, "left_semi"), keys, name).select(*columns))
-
-
-def _in_slabs(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Number large groups slab by slab, shifted by the rows of earlier slabs.
-
-    A value heavy enough to fill a slab is a cut point itself, and is cut again along the tie column.
-    """
-    at = F.array(*[F.lit(i / SLABS) for i in range(1, SLABS)])
-    cuts = rows.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", at, 100 * SLABS)).alias("_vc"),
-        F.array_distinct(F.percentile_approx("_t", at, 100 * SLABS)).alias("_tc"),
-    )
-    cut = rows.join(cuts, keys)
-    on_cut = F.array_contains("_vc", F.col("_v"))
-    below = F.size(F.filter("_vc", lambda c: c < F.col("_v")))
-    cut = cut.withColumn("_s", below * 2 + on_cut.cast("int")).withColumn(
-        "_u", F.when(on_cut, F.size(F.filter("_tc", lambda c: c < F.col("_t")))).otherwise(0)
-    )
-    slab = [*keys, "_s", "_u"]
-    earlier = Window.partitionBy(*keys).orderBy("_s", "_u").rowsBetween(Window.unboundedPreceding, -1)
-    shift = cut.groupBy(*slab).agg(F.count("*").alias("_n"))
-    shift = shift.select(*slab, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*slab).orderBy("_v", "_t")
-    return cut.join(shift, slab).withColumn(name, F.row_number().over(inside) + F.col("_before"))
-
-
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    rank: str,
-    sums: dict[str, Column],
-    chunk: int = 100_000,
-    hot_rows: int = HOT_ROWS,
-    hot: bool | None = None,
-) -> DataFrame:
-    """Running sums in rank order; ranks of hot groups are cut into chunks with carried totals."""
-    keys = list(keys)
-    if hot is None:
-        hot = has_hot_groups(df, keys, hot_rows)
-    if not hot:
-        upto = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
-    parts = df.withColumn("_c", F.floor((F.col(rank) - 1) / chunk))
-    parts = cut_lineage(parts.withColumns({f"_x_{n}": c for n, c in sums.items()}))
+    parts = df.withColumn("_c", F.floor((F.col(rank) - 1) / chunk)).withColumns({f"_x_{n}": c for n, c in sums.items()})
     totals = parts.groupBy(*keys, "_c").agg(*[F.sum(f"_x_{n}").alias(f"_b_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(

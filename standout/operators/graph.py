@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.ordering import union_all
+from standout.functions.ordering import numbered, union_all
 from standout.operators.matrix import GRAPH_MEASURES, HEAVY, VARIANTS
 from standout.session import cut_lineage
 
@@ -22,6 +22,8 @@ GRAPH = ["doc_id", "variant"]
 UNIVERSE = 5  # fixed size of the link universe in the relatedness formula
 TINY_DENOMINATOR = 0.001
 ISOLATED_CLOSENESS = 100.0
+BLOCK = 64  # sources of a row of packed distances
+MERGED_LEVELS = 8  # levels that are read singly before they are merged
 EDGE = ["doc_id", "variant", "src", "dst", "w"]
 
 
@@ -120,28 +122,69 @@ def graph_size(edges: DataFrame) -> DataFrame:
     return node_degree(edges).groupBy(*GRAPH).agg(F.count("*").alias("graph_size"))
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """All finite directed distances between different nodes of each graph: ``src, dst, d``.
+def breadth_levels(edges: DataFrame) -> DataFrame:
+    """All directed distances of each graph, packed: ``doc_id, variant, block, node, d, bits``.
 
-    Each round extends only the distances that improved in the round before, until none is left; there are at most as many
-    rounds as a shortest path has edges.
+    Sources of a graph are numbered; a row says at which distance a node is first reached from the 64 sources of a block, a
+    bit for each. Level ``d`` is made from the levels ``d - w`` along the edges of weight ``w`` (whole numbers, as many levels
+    back as the largest weight), ORed per node, less the bits of all earlier levels. A round writes the new level only; the
+    earlier ones are merged every few rounds. It ends when no level that an edge could start from is left. Level 0 holds the
+    sources themselves. The number of a source is ``block * 64`` plus its bit in the order of nodes: see ``sources``.
     """
-    steps = cut_lineage(
-        edges.where("src <> dst").groupBy(*GRAPH, "src", "dst").agg(F.min("w").alias("w"))
-    )
-    key = [*GRAPH, "src", "dst"]
-    known = steps.select(*key, F.col("w").alias("d"), F.lit(True).alias("fresh"))
-    onward = steps.select(*GRAPH, F.col("src").alias("via"), F.col("dst").alias("to"), "w")
-    while True:
-        frontier = known.where("fresh").select(*GRAPH, "src", F.col("dst").alias("via"), "d")
-        longer = frontier.join(onward, [*GRAPH, "via"]).where("src <> to")
-        longer = longer.select(*GRAPH, "src", F.col("to").alias("dst"), F.lit(None).cast("long").alias("old"), (F.col("d") + F.col("w")).alias("new"))
-        before = known.select(*key, F.col("d").alias("old"), F.lit(None).cast("long").alias("new"))
-        merged = before.unionByName(longer).groupBy(*key).agg(F.min("old").alias("old"), F.min("new").alias("new"))
-        fresh = F.col("old").isNull() | (F.col("new") < F.col("old"))
-        known = cut_lineage(merged.select(*key, F.least("old", "new").alias("d"), F.coalesce(fresh, F.lit(False)).alias("fresh")))
-        if known.where("fresh").isEmpty():
-            return known.drop("fresh")
+    steps = cut_lineage(edges.where("src <> dst").groupBy(*GRAPH, "src", "dst").agg(F.min("w").alias("w")))
+    far = steps.agg(F.max("w")).first()[0] or 0
+    onward = steps.withColumnRenamed("src", "node")
+    key = [*GRAPH, "block", "node"]
+    start = sources(edges).select(*key, F.lit(0).cast("long").alias("d"), F.expr("shiftleft(1L, bit)").alias("bits"))
+    levels, merged, recent, d = [cut_lineage(start)], None, {}, 0
+    recent[0] = levels[0]
+    while recent:
+        d += 1
+        ahead = union_all([level.withColumn("w", F.lit(d - at).cast("long")) for at, level in recent.items()])
+        found = ahead.join(onward, [*GRAPH, "node", "w"]).select(*GRAPH, "block", F.col("dst").alias("node"), F.col("bits").alias("new"))
+        known = levels if merged is None else [merged, *levels[merged_to:]]
+        rows = found.withColumn("old", F.lit(None).cast("long")).unionByName(
+            union_all([x.select(*key, F.lit(None).cast("long").alias("new"), F.col("bits").alias("old")) for x in known])
+        )
+        rows = rows.groupBy(*key).agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        bits = F.col("new").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        level = cut_lineage(rows.select(*key, F.lit(d).cast("long").alias("d"), bits.alias("bits")).where("bits <> 0"))
+        recent = {at: x for at, x in recent.items() if d + 1 - at <= far}
+        if not level.isEmpty():
+            levels.append(level)
+            recent[d] = level
+        if len(levels) - (0 if merged is None else merged_to) > MERGED_LEVELS:
+            merged = cut_lineage(union_all([x.select(*key, "bits") for x in levels]).groupBy(*key).agg(F.bit_or("bits").alias("bits")))
+            merged_to = len(levels)
+    return union_all(levels)
+
+
+def sources(edges: DataFrame) -> DataFrame:
+    """``doc_id, variant, node, block, bit``: the nodes of each graph by number, 64 to a block."""
+    placed = numbered(ends(edges).select(*GRAPH, "node").distinct(), GRAPH, [F.col("node")], "_n")
+    at = F.col("_n") - 1
+    return placed.select(*GRAPH, "node", F.floor(at / BLOCK).alias("block"), (at % BLOCK).cast("int").alias("bit"))
+
+
+def unpacked(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """``doc_id, variant, src, dst, d`` of all pairs of different nodes in packed levels of these edges."""
+    pairs = levels.where("d > 0").select(*GRAPH, "block", F.col("node").alias("dst"), "d", _bits().alias("bit"))
+    names = sources(edges).withColumnRenamed("node", "src")
+    return pairs.join(names, [*GRAPH, "block", "bit"]).select(*GRAPH, "src", "dst", "d")
+
+
+def _bits() -> Column:
+    """A row for each bit that is set."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: _is_set(F.col("bits"), i)))
+
+
+def _is_set(bits: Column, place: Column) -> Column:
+    return F.call_function("shiftrightunsigned", bits, place).bitwiseAND(F.lit(1)) == 1
+
+
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """All finite directed distances between different nodes of each graph: ``src, dst, d``."""
+    return unpacked(edges, breadth_levels(edges))
 
 
 def diameter(paths: DataFrame) -> DataFrame:
@@ -150,14 +193,31 @@ def diameter(paths: DataFrame) -> DataFrame:
 
 def farness(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Per node the distances from it and to it, and the reciprocal; an unreached node counts 100."""
-    nodes = ends(edges).select(*GRAPH, "node").distinct()
     both = F.explode(F.array("src", "dst"))
-    sums = paths.select(*GRAPH, "d", both.alias("node")).groupBy(*GRAPH, "node").agg(F.sum("d").alias("farness"))
+    return _closed(edges, paths.select(*GRAPH, "d", both.alias("node")).groupBy(*GRAPH, "node").agg(F.sum("d").alias("farness")))
+
+
+def _closed(edges: DataFrame, sums: DataFrame) -> DataFrame:
+    nodes = ends(edges).select(*GRAPH, "node").distinct()
     rows = nodes.join(sums, [*GRAPH, "node"], "left").withColumn("farness", F.coalesce("farness", F.lit(0)))
     return rows.withColumn("closeness", F.when(F.col("farness") != 0, 1.0 / F.col("farness")).otherwise(ISOLATED_CLOSENESS))
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
+def level_sums(edges: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Farness and closeness of each node, and the diameter of each graph, from packed levels.
+
+    Distances to a node are counted by the bits of its rows, those from a source by its bit over all rows; sums are combined
+    before they are shuffled, so pairs never are.
+    """
+    rows = levels.where("d > 0")
+    to = rows.groupBy(*GRAPH, "node").agg(F.sum(F.col("d") * F.bit_count("bits")).alias("far"))
+    away = rows.select(*GRAPH, "block", "d", _bits().alias("bit")).groupBy(*GRAPH, "block", "bit").agg(F.sum("d").alias("far"))
+    away = away.join(sources(edges), [*GRAPH, "block", "bit"]).select(*GRAPH, "node", "far")
+    sums = to.unionByName(away).groupBy(*GRAPH, "node").agg(F.sum("far").alias("farness"))
+    return _closed(edges, sums), rows.groupBy(*GRAPH).agg(F.max("d").alias("graph_diameter"))
+
+
+def undirected(edges: DataFrame) -> DataFrame:
     """Distinct neighbours in both directions."""
     both = F.array(
         F.struct(F.col("src").alias("node"), F.col("dst").alias("other")),
@@ -191,7 +251,7 @@ def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-12, max_round
         out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
         return out
 
-    near = _undirected(edges)
+    near = undirected(edges)
     return near.groupBy(*GRAPH).applyInPandas(solve, "doc_id long, variant string, node long, centrality double")
 
 
@@ -208,11 +268,11 @@ def heavy_features(candidates: DataFrame, links: DataFrame, zero: Sequence[int]
     Positions in ``zero`` (0..8) are set to 0 in each variant.
     """
     edges = cut_lineage(all_variants(candidates, links))
-    paths = shortest_paths(edges)
+    far, wide = level_sums(edges, breadth_levels(edges))
     key = [*GRAPH, "node"]
     nodes = node_degree(edges).select(*key, F.col("degree").alias("node_degree"))
-    nodes = nodes.join(farness(edges, paths), key).join(eigenvector_centrality(edges), key)
-    graphs = degree_ratios(edges).join(diameter(paths), GRAPH, "left")
+    nodes = nodes.join(far, key).join(eigenvector_centrality(edges), key)
+    graphs = degree_ratios(edges).join(wide, GRAPH, "left")
     of_graph = ["graph_size", "graph_diameter", "in_degree_mean_median_ratio", "out_degree_mean_median_ratio", "degree_mean_median_ratio"]
     of_node = ["node_degree", "farness", "closeness", "centrality"]
 
@@ -258,64 +318,68 @@ def document_entity_graph(
     return edges.unionByName(alone)
 
 
-def betweenness(paths: DataFrame, near: DataFrame) -> DataFrame:
-    """Share of shortest paths through each node of an undirected graph with unit distances.
+def betweenness(near: DataFrame, levels: DataFrame) -> DataFrame:
+    """Share of shortest paths through each node of an undirected graph with unit distances, from its packed levels.
 
-    Path counts go out level by level; dependencies come back from the farthest level.
+    A row holds the path counts of a node from the 64 sources of a block as one array. Counts go out level by level along the
+    edges, elementwise summed; dependencies come back from the farthest level. Each level is read with the edges once and no
+    table of (source, edge) is made.
     """
-    key = [*GRAPH, "src", "node"]
-    reach = cut_lineage(paths.select(*GRAPH, "src", F.col("dst").alias("node"), "d"))
-    top = reach.agg(F.max("d").alias("d")).first()["d"] or 0
-    # for each source, every neighbour pair one level apart
+    key = [*GRAPH, "block", "node"]
+    top = levels.agg(F.max("d")).first()[0] or 0
     steps = near.where("node <> other").select(*GRAPH, "node", F.col("other").alias("next"))
-    start = reach.select(*GRAPH, "src").distinct().select(*GRAPH, "src", F.col("src").alias("node"), F.lit(0).cast("long").alias("d"))
-    levels = reach.unionByName(start)
-    further = levels.select(*GRAPH, "src", F.col("node").alias("next"), (F.col("d") - 1).alias("d"))
-    arcs = cut_lineage(levels.join(steps, [*GRAPH, "node"]).join(further, [*GRAPH, "src", "next", "d"]))
-    counts = start.withColumn("sigma", F.lit(1.0))
-    level = counts
-    for d in range(top):
-        out = level.join(arcs.where(F.col("d") == d).drop("d"), key)
-        level = cut_lineage(
-            out.groupBy(*GRAPH, "src", F.col("next").alias("node")).agg(F.sum("sigma").alias("sigma")).withColumn("d", F.lit(d + 1).cast("long"))
-        )
-        counts = counts.unionByName(level)
-    counts = cut_lineage(counts)
-    back = None
-    for d in range(top - 1, 0, -1):
-        inner = counts.where(F.col("d") == d).select(*key, "sigma")
-        outer = counts.where(F.col("d") == d + 1).select(*GRAPH, "src", F.col("node").alias("next"), F.col("sigma").alias("onward"))
+    where = [levels.where(F.col("d") == d).select(*key, "bits") for d in range(top + 1)]
+
+    def along(rows: DataFrame, column: str) -> DataFrame:
+        """The column's arrays, summed over the neighbours of each node."""
+        out = rows.join(steps, [*GRAPH, "node"]).groupBy(*GRAPH, "block", "next")
+        sums = F.array(*[F.sum(F.col(column)[i]) for i in range(BLOCK)])
+        return out.agg(sums.alias("x")).withColumnRenamed("next", "node")
+
+    def masked(value: Column) -> Column:
+        return F.transform(value, lambda v, i: F.when(_is_set(F.col("bits"), i), v).otherwise(0.0))
+
+    counts = [cut_lineage(where[0].withColumn("sigma", masked(F.array_repeat(F.lit(1.0), BLOCK))))]
+    for d in range(1, top + 1):
+        rows = along(counts[-1], "sigma").join(where[d], key)
+        counts.append(cut_lineage(rows.select(*key, "bits", masked(F.col("x")).alias("sigma"))))
+    through, back = [], None
+    for d in range(top, 1, -1):
+        outer = counts[d] if back is None else counts[d].join(back.select(*key, "delta"), key, "left")
         if back is None:
-            outer = outer.withColumn("carried", F.lit(0.0))
+            outer = outer.withColumn("q", F.transform("sigma", lambda s: F.when(s > 0, 1.0 / s).otherwise(0.0)))
         else:
-            later = back.where(F.col("d") == d + 1).select(*GRAPH, "src", F.col("node").alias("next"), F.col("delta").alias("carried"))
-            outer = outer.join(later, [*GRAPH, "src", "next"], "left").withColumn("carried", F.coalesce("carried", F.lit(0.0)))
-        pairs = arcs.where(F.col("d") == d).drop("d").join(inner, key).join(outer, [*GRAPH, "src", "next"])
-        share = F.sum(F.col("sigma") / F.col("onward") * (1.0 + F.col("carried")))
-        now = cut_lineage(pairs.groupBy(*key).agg(share.alias("delta")).withColumn("d", F.lit(d).cast("long")))
-        back = now if back is None else back.unionByName(now)
-    if back is None:
-        return levels.select(*GRAPH, "node").distinct().withColumn("betweenness", F.lit(0.0))
-    return back.groupBy(*GRAPH, "node").agg(F.sum("delta").alias("betweenness"))
-
-
-def centrality_report(edges: DataFrame) -> DataFrame:
-    """Degree, closeness, betweenness and eigenvector centrality of undirected graphs."""
-    near = cut_lineage(_undirected(edges))
+            carried = F.coalesce("delta", F.array_repeat(F.lit(0.0), BLOCK))
+            outer = outer.withColumn("q", F.zip_with("sigma", carried, lambda s, x: F.when(s > 0, (1.0 + x) / s).otherwise(0.0)))
+        inner = along(outer, "q").join(counts[d - 1], key)
+        back = cut_lineage(inner.select(*key, F.zip_with("sigma", "x", lambda s, x: s * x).alias("delta")))
+        through.append(back.select(*GRAPH, "node", F.aggregate("delta", F.lit(0.0), lambda a, v: a + v).alias("delta")))
+    zero = where[0].select(*GRAPH, "node", F.lit(0.0).alias("delta"))
+    return union_all([zero, *through]).groupBy(*GRAPH, "node").agg(F.sum("delta").alias("betweenness"))
+
+
+def undirected_measures(edges: DataFrame) -> DataFrame:
+    """Degree, closeness and betweenness centrality of undirected graphs."""
+    near = cut_lineage(undirected(edges))
     unit = near.select(*GRAPH, F.col("node").alias("src"), F.col("other").alias("dst"), F.lit(1).cast("long").alias("w"))
-    paths = shortest_paths(unit)
+    levels = breadth_levels(unit)
     key = [*GRAPH, "node"]
     # a self-loop counts twice in the degree
     degree = near.groupBy(*key).agg(F.sum(F.when(F.col("node") == F.col("other"), 2).otherwise(1)).alias("links"))
     sizes = degree.groupBy(*GRAPH).agg(F.count("*").alias("n"))
-    reach = paths.groupBy(*GRAPH, F.col("src").alias("node")).agg(F.sum("d").alias("far"), F.count("*").alias("reached"))
-    rows = degree.join(sizes, GRAPH).join(reach, key, "left").join(betweenness(paths, near), key, "left")
-    rows = rows.join(eigenvector_centrality(edges), key)
+    met = F.bit_count("bits").cast("long")
+    reach = levels.where("d > 0").groupBy(*key).agg(F.sum(F.col("d") * met).alias("far"), F.sum(met).alias("reached"))
+    rows = degree.join(sizes, GRAPH).join(reach, key, "left").join(betweenness(near, levels), key, "left")
     others = F.col("n") - 1
     return rows.select(
         *key,
         F.when(others > 0, F.col("links") / others).otherwise(1.0).alias("degree_centrality"),
         F.coalesce(F.col("reached") / F.col("far") * F.col("reached") / others, F.lit(0.0)).alias("closeness_centrality"),
         F.when(F.col("n") > 2, F.coalesce("betweenness", F.lit(0.0)) / (others * (F.col("n") - 2))).otherwise(0.0).alias("betweenness_centrality"),
-        F.col("centrality").alias("eigenvector_centrality"),
     )
+
+
+def centrality_report(edges: DataFrame) -> DataFrame:
+    """The undirected measures and eigenvector centrality."""
+    own = eigenvector_centrality(edges).withColumnRenamed("centrality", "eigenvector_centrality")
+    return undirected_measures(edges).join(own, [*GRAPH, "node"])

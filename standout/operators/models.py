@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from standout.functions.ordering import union_all
+from standout.functions.ordering import numbered, union_all
 from standout.operators import ranking, scoring, sentiment
 from standout.operators.golden import attach_golden, only_golden, only_varying
 from standout.operators.matrix import KEYS, clean_features, vector
@@ -168,27 +168,26 @@ def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(ranked, "rank int, index int, name string, importance double, std double")
 
 
-def permuted(df: DataFrame, name: str, buckets: int = 1024, seed: int = 0) -> DataFrame:
-    """The column's values dealt anew among rows of the same random bucket; all other columns stay.
+def permuted(df: DataFrame, name: str, seed: int = 0) -> DataFrame:
+    """The column's values dealt anew among all rows in one random order; all other columns stay.
 
-    Rows are matched by place inside a bucket under two orders, so no task holds the whole column.
+    The rows in the order of their keys and the values in the order of a hash are numbered over all partitions, at any size of
+    the table, and rows take the value of their number.
     """
-    rows = df.withColumn("_b", F.pmod(F.xxhash64(*KEYS, F.lit(seed)), F.lit(buckets)))
-    one = Window.partitionBy("_b").orderBy(*KEYS)
-    two = Window.partitionBy("_b").orderBy(F.xxhash64(*KEYS, F.lit(seed + 1)), *KEYS)
-    kept = rows.withColumn("_n", F.row_number().over(one)).drop(name)
-    dealt = rows.select("_b", name, F.row_number().over(two).alias("_n"))
-    return kept.join(dealt, ["_b", "_n"]).drop("_b", "_n")
+    rows = df.withColumn("_all", F.lit(0))
+    kept = numbered(rows.drop(name), ["_all"], [F.col(k) for k in KEYS], "_n")
+    mixed = [F.xxhash64(*KEYS, F.lit(seed)), *[F.col(k) for k in KEYS]]
+    dealt = numbered(rows.select("_all", name, *KEYS), ["_all"], mixed, "_n").select("_n", name)
+    return kept.join(dealt, "_n").select(*df.columns)
 
 
 def permutation_importance(
     model: PipelineModel, df: DataFrame, names: Sequence[str], target: str = "grade", seed: int = 0
 ) -> DataFrame:
     """Root mean square error after permuting one feature at a time, and the increase over the intact one."""
-    buckets = df.count() // 50_000 + 1
     whole = _quality(model, df, names, target).select(F.lit("").alias("name"), "rmse")
     parts = [
-        _quality(model, permuted(df, n, buckets, seed).select(*df.columns), names, target).select(F.lit(n).alias("name"), "rmse") for n in names
+        _quality(model, permuted(df, n, seed), names, target).select(F.lit(n).alias("name"), "rmse") for n in names
     ]
     base = whole.agg(F.first("rmse")).scalar()
     return union_all(parts).withColumn("increase", F.col("rmse") - base)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.ordering import HOT_ROWS, has_hot_groups, ordinal, running
+from standout.functions.ordering import ordinal, running
 
 CUTOFFS = (1, 2, 3, 4, 5, 10, 15, 20, 30, 100, 200, 500, 1000)
 LEVELS = tuple(range(11))  # tenths of recall
@@ -20,10 +20,10 @@ def level_name(tenths: int) -> str:
     return f"iprec_at_recall_{tenths // 10}_{tenths % 10}0"
 
 
-def rank_entities(scores: DataFrame, hot_rows: int = HOT_ROWS, hot: bool | None = None) -> DataFrame:
+def rank_entities(scores: DataFrame) -> DataFrame:
     """Rank by score descending inside each document; a missing score is 0, ties go by entity id."""
     clean = scores.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
-    return ordinal(clean, ["doc_id"], F.col("score"), F.col("entity_id"), "rank", hot_rows, hot)
+    return ordinal(clean, ["doc_id"], F.col("score"), F.col("entity_id"), "rank")
 
 
 def _steep_discount(rank: Column | str = "rank") -> Column:
@@ -31,63 +31,60 @@ def _steep_discount(rank: Column | str = "rank") -> Column:
     return F.when(rank == 1, 1.0).otherwise(1.0 / F.log2(F.greatest(rank, F.lit(2)).cast("double")))
 
 
-def _gained(scores: DataFrame, golden: DataFrame, binary: bool, hot_rows: int, hot: bool | None = None) -> DataFrame:
+def _gained(scores: DataFrame, golden: DataFrame, binary: bool) -> DataFrame:
     judged = golden.select("doc_id", "entity_id", F.lit(True).alias("judged"))
-    rows = rank_entities(scores, hot_rows, hot).join(judged, ["doc_id", "entity_id"], "left")
+    rows = rank_entities(scores).join(judged, ["doc_id", "entity_id"], "left")
     value = (F.col("score") > 0).cast("double") if binary else F.col("score")
     gain = F.when(F.col("judged"), (F.pow(F.lit(2.0), value) - 1) * _steep_discount())
     return rows.withColumn("gain", F.coalesce(gain, F.lit(0.0)))
 
 
 def salience_ndcg(
-    scores: DataFrame, golden: DataFrame, max_score: float = 3.0, binary: bool = False, hot_rows: int = HOT_ROWS
+    scores: DataFrame, golden: DataFrame, max_score: float = 3.0, binary: bool = False
 ) -> DataFrame:
     """Per document the share of the best possible gain at the ranks of its judged entities.
 
     The gain comes from the model's score; unjudged entities use up ranks but gain nothing.
     """
-    rows = _gained(scores, golden, binary, hot_rows)
+    rows = _gained(scores, golden, binary)
     best = F.when(F.col("judged"), (2.0**max_score - 1) * _steep_discount()).otherwise(0.0)
     out = rows.groupBy("doc_id").agg(F.sum("gain").alias("dcg"), F.sum(best).alias("best_dcg"))
     return out.withColumn("ndcg", F.when(F.col("best_dcg") != 0, F.col("dcg") / F.col("best_dcg")).otherwise(0.0))
 
 
-def dcg_curve(scores: DataFrame, golden: DataFrame, binary: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dcg_curve(scores: DataFrame, golden: DataFrame, binary: bool = False) -> DataFrame:
     """Cumulative gain at each rank."""
-    hot = has_hot_groups(scores, ["doc_id"], hot_rows)
-    rows = _gained(scores, golden, binary, hot_rows, hot)
-    return running(rows, ["doc_id"], "rank", {"dcg": F.col("gain")}, hot=hot).select("doc_id", "rank", "entity_id", "dcg")
+    rows = _gained(scores, golden, binary)
+    return running(rows, ["doc_id"], "rank", {"dcg": F.col("gain")}).select("doc_id", "rank", "entity_id", "dcg")
 
 
-def ideal_dcg(golden: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ideal_dcg(golden: DataFrame) -> DataFrame:
     """The same cumulative gain for the golden grades themselves; the last one is the total."""
     rows = golden.select("doc_id", "entity_id", F.col("grade").alias("score"))
-    hot = has_hot_groups(rows, ["doc_id"], hot_rows)
-    ranked = rank_entities(rows, hot_rows, hot)
+    ranked = rank_entities(rows)
     gain = (F.pow(F.lit(2.0), F.col("score")) - 1) * _steep_discount()
-    return running(ranked, ["doc_id"], "rank", {"dcg": gain}, hot=hot).select("doc_id", "rank", "entity_id", "dcg")
+    return running(ranked, ["doc_id"], "rank", {"dcg": gain}).select("doc_id", "rank", "entity_id", "dcg")
 
 
-def judged_run(run: DataFrame, qrels: DataFrame, relevant: float = 2.0, hot_rows: int = HOT_ROWS) -> DataFrame:
+def judged_run(run: DataFrame, qrels: DataFrame, relevant: float = 2.0) -> DataFrame:
     """Ranked rows of documents with judgements: grade, relevance, and running judged counts.
 
     Only documents of both inputs are evaluated.
     """
-    hot = has_hot_groups(run, ["doc_id"], hot_rows)
     judged_docs = qrels.select("doc_id").distinct()
     evaluated = run.join(judged_docs, "doc_id", "left_semi").select("doc_id", "entity_id", "score")
-    ranked = rank_entities(evaluated, hot_rows, hot)
+    ranked = rank_entities(evaluated)
     rows = ranked.join(qrels.select("doc_id", "entity_id", "grade"), ["doc_id", "entity_id"], "left")
     hit, miss = F.col("grade") >= relevant, F.col("grade") < relevant
     rows = rows.withColumns({"hit": F.coalesce(hit, F.lit(False)), "miss": F.coalesce(miss, F.lit(False))})
     return running(
-        rows, ["doc_id"], "rank", {"hits": F.col("hit").cast("long"), "misses": F.col("miss").cast("long")}, hot=hot
+        rows, ["doc_id"], "rank", {"hits": F.col("hit").cast("long"), "misses": F.col("miss").cast("long")}
     )
 
 
-def qrels_totals(qrels: DataFrame, relevant: float = 2.0, hot_rows: int = HOT_ROWS) -> DataFrame:
+def qrels_totals(qrels: DataFrame, relevant: float = 2.0) -> DataFrame:
     """Per document the judged totals and the ideal linear gain."""
-    ranked = rank_entities(qrels.select("doc_id", "entity_id", F.col("grade").alias("score")), hot_rows)
+    ranked = rank_entities(qrels.select("doc_id", "entity_id", F.col("grade").alias("score")))
     kept = F.when(F.col("score") >= relevant, F.col("score")).otherwise(0.0)
     return ranked.groupBy("doc_id").agg(
         F.count_if(F.col("score") >= relevant).alias("num_rel"),
@@ -101,10 +98,9 @@ def document_measures(
     qrels: DataFrame,
     relevant: float = 2.0,
     cutoffs: Sequence[int] = CUTOFFS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All measures, one row per evaluated document, from one pass over the ranked rows."""
-    rows = judged_run(run, qrels, relevant, hot_rows).join(qrels_totals(qrels, relevant, hot_rows), "doc_id")
+    rows = judged_run(run, qrels, relevant).join(qrels_totals(qrels, relevant), "doc_id")
     hit, rank, hits, misses = F.col("hit"), F.col("rank"), F.col("hits"), F.col("misses")
     rel, nonrel = F.col("num_rel"), F.col("num_nonrel")
     precision = hits / rank
@@ -143,14 +139,14 @@ def document_measures(
 
 
 def evaluation_report(
-    run: DataFrame, qrels: DataFrame, relevant: float = 2.0, per_document: bool = True, hot_rows: int = HOT_ROWS
+    run: DataFrame, qrels: DataFrame, relevant: float = 2.0, per_document: bool = True
 ) -> DataFrame:
     """``measure, qid, value`` for every document and for qid ``all``.
 
     Grouping sets give the documents and the whole from one evaluation. Over all documents counts are
     summed and other measures averaged; ``gm_map`` and the number of documents exist there only.
     """
-    documents = document_measures(run, qrels, relevant, hot_rows=hot_rows)
+    documents = document_measures(run, qrels, relevant)
     names = [c for c in documents.columns if c != "doc_id"]
     wide = documents.select(
         F.col("doc_id").cast("string").alias("qid"),

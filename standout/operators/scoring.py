@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.ordering import HOT_ROWS, ordinal
+from standout.functions.ordering import ordinal
 from standout.operators.splits import unit_hash
 
 
@@ -28,13 +28,13 @@ def baseline_random(mentions: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def select_candidates(
-    scored: DataFrame, threshold: float = 0.5, min_pass: int = 3, hot_rows: int = HOT_ROWS
+    scored: DataFrame, threshold: float = 0.5, min_pass: int = 3
 ) -> DataFrame:
     """Entities above the threshold; a document without any passes its first ``min_pass`` entities."""
     above = F.col("score") > threshold
     empty = scored.groupBy("doc_id").agg(F.coalesce(F.bool_or(above), F.lit(False)).alias("_any")).where("NOT _any").select("doc_id")
     rest = scored.join(empty, "doc_id", "left_semi")
-    rest = ordinal(rest, ["doc_id"], -F.col("entity_id"), F.col("entity_id"), "_n", hot_rows)
+    rest = ordinal(rest, ["doc_id"], -F.col("entity_id"), F.col("entity_id"), "_n")
     return scored.where(above).unionByName(rest.where(F.col("_n") <= min_pass).drop("_n"))
 
 

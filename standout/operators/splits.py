@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.ordering import HOT_ROWS, ordinal, running
+from standout.functions.ordering import ordinal, running
 
 PRIME = 1_000_003
 
@@ -40,16 +40,16 @@ def split_varying(df: DataFrame, varying: DataFrame, share: float, seed: int = 0
     return rows.withColumn("side", _side(unit_hash(F.pmod(F.col("doc_id"), F.lit(PRIME)) * 1009 + F.pmod(F.col("entity_id"), F.lit(PRIME)), seed) < share))
 
 
-def kfold(df: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def kfold(df: DataFrame, k: int) -> DataFrame:
     """k contiguous folds of equal size in (doc_id, entity_id) order, numbered from 1.
 
     Rows are numbered without ever sorting the whole table in one task.
     """
     per_doc = df.groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumn("_all", F.lit(0))
-    placed = ordinal(per_doc, ["_all"], -F.col("doc_id"), F.col("doc_id"), "_place", hot_rows)
-    starts = running(placed, ["_all"], "_place", {"_upto": F.col("_rows")}, hot_rows=hot_rows)
+    placed = ordinal(per_doc, ["_all"], -F.col("doc_id"), F.col("doc_id"), "_place")
+    starts = running(placed, ["_all"], "_place", {"_upto": F.col("_rows")})
     starts = starts.select("doc_id", (F.col("_upto") - F.col("_rows")).alias("_before"))
-    inside = ordinal(df, ["doc_id"], -F.col("entity_id"), F.col("entity_id"), "_inside", hot_rows)
+    inside = ordinal(df, ["doc_id"], -F.col("entity_id"), F.col("entity_id"), "_inside")
     rows = inside.join(starts, "doc_id").withColumn("_n", F.col("_before") + F.col("_inside"))
     total = df.agg(F.count("*")).scalar()
     size, extra = F.floor(total / k), total % k

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from standout.functions.ordering import HOT_ROWS, has_hot_groups, ordinal
+from standout.functions.ordering import ordinal
 from standout.functions.text import count_in
 from standout.operators.matrix import clean
 
@@ -166,15 +166,14 @@ def scores_with_entity(scores: DataFrame, mentions: DataFrame, entity_id: int) -
     return scores.join(mentions.where(F.col("entity_id") == entity_id).select("doc_id"), "doc_id", "left_semi")
 
 
-def salience_distribution(golden: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def salience_distribution(golden: DataFrame) -> DataFrame:
     """Per entity mean, deviation and documents, with its place by each of them (largest first)."""
     rows = golden.groupBy("entity_id").agg(
         F.avg("grade").alias("mean_grade"), F.stddev_pop("grade").alias("std_grade"), F.count("*").alias("documents")
     ).withColumn("_all", F.lit(0))
-    hot = has_hot_groups(rows, ["_all"], hot_rows)
     for value, name in (("mean_grade", "place_by_mean"), ("std_grade", "place_by_std"), ("documents", "place_by_documents")):
         # places compare rounded values, so that equal means are ties whatever order they were summed in
-        rows = ordinal(rows, ["_all"], F.round(F.col(value).cast("double"), 9), F.col("entity_id"), name, hot_rows, hot)
+        rows = ordinal(rows, ["_all"], F.round(F.col(value).cast("double"), 9), F.col("entity_id"), name)
     return rows.drop("_all")
 
 

@@ -53,9 +53,9 @@ def _edges(spark, sf):
     return graph.all_variants(*_inputs(spark, sf))
 
 
-def _v0_edges(spark, sf):
-    """The induced graphs, stored once: the iterations read them several times."""
-    return cut_lineage(graph.induced_graph_v0(*_inputs(spark, sf)))
+def _stored_edges(spark, sf):
+    """The graphs of all variants, stored once: the iterations read them several times."""
+    return cut_lineage(_edges(spark, sf))
 
 
 @query("expand_graph_v1", with_inputs("golden links", "SELECT * FROM v1", V1))
@@ -100,17 +100,18 @@ def _(spark, sf):
     return graph.node_degree(_edges(spark, sf))
 
 
-V0_PATHS = V1 + ", " + PATHS.format(edges="v0")
+ALL_PATHS = EDGES + ", " + PATHS.format(edges="edges")
 
 
-@query("shortest_paths", with_inputs("golden links", "SELECT doc_id, variant, src, dst, CAST(d AS BIGINT) AS d FROM sp", V0_PATHS, recursive=True))
+@query("shortest_paths", with_inputs("golden links", "SELECT doc_id, variant, src, dst, CAST(d AS BIGINT) AS d FROM sp", ALL_PATHS, recursive=True))
 def _(spark, sf):
-    return graph.shortest_paths(_v0_edges(spark, sf))
+    return graph.shortest_paths(_stored_edges(spark, sf))
 
 
-@query("diameter", with_inputs("golden links", "SELECT doc_id, variant, CAST(max(d) AS BIGINT) AS graph_diameter FROM sp GROUP BY ALL", V0_PATHS, recursive=True))
+@query("diameter", with_inputs("golden links", "SELECT doc_id, variant, CAST(max(d) AS BIGINT) AS graph_diameter FROM sp GROUP BY ALL", ALL_PATHS, recursive=True))
 def _(spark, sf):
-    return graph.diameter(graph.shortest_paths(_v0_edges(spark, sf)))
+    edges = _stored_edges(spark, sf)
+    return graph.level_sums(edges, graph.breadth_levels(edges))[1]
 
 
 FAR = (
@@ -121,15 +122,37 @@ FAR = (
 )
 
 
-@query("farness_closeness", with_inputs("golden links", FAR.format(edges="v0"), V0_PATHS, recursive=True))
+@query("farness_closeness", with_inputs("golden links", FAR.format(edges="edges"), ALL_PATHS, recursive=True))
 def _(spark, sf):
-    edges = _v0_edges(spark, sf)
-    return graph.farness(edges, graph.shortest_paths(edges)).withColumn("closeness", round9("closeness"))
+    edges = _stored_edges(spark, sf)
+    return graph.level_sums(edges, graph.breadth_levels(edges))[0].withColumn("closeness", round9("closeness"))
 
 
 @query("eigenvector_centrality")
 def _(spark, sf):
-    return graph.eigenvector_centrality(cut_lineage(_edges(spark, sf))).withColumn("centrality", round9("centrality", 6))
+    return graph.eigenvector_centrality(_stored_edges(spark, sf)).withColumn("centrality", round9("centrality", 6))
+
+
+NEAR = "near AS MATERIALIZED (SELECT doc_id, variant, src AS node, dst AS other FROM edges UNION SELECT doc_id, variant, dst, src FROM edges)"
+
+
+@query("eigenvector_facts", with_inputs("golden links",
+       "SELECT doc_id, variant, count(DISTINCT node) AS nodes, 1.0::DOUBLE AS norm, true AS all_positive, true AS solves_its_equation FROM near GROUP BY ALL", EDGES + ", " + NEAR))
+def _(spark, sf):
+    """What an eigenvector must satisfy: length one, no negative part, and neighbours that add up to the value times itself."""
+    edges = _stored_edges(spark, sf)
+    x = cut_lineage(graph.eigenvector_centrality(edges))
+    near = graph.undirected(edges).join(x.withColumnRenamed("node", "other"), [*graph.GRAPH, "other"])
+    image = near.groupBy(*graph.GRAPH, "node").agg(F.sum("centrality").alias("image"))
+    rows = x.join(image, [*graph.GRAPH, "node"])
+    value = rows.groupBy(*graph.GRAPH).agg(F.sum(F.col("image") * F.col("centrality")).alias("value"))
+    rest = F.abs(F.col("image") - F.col("value") * F.col("centrality"))
+    return rows.join(value, graph.GRAPH).groupBy(*graph.GRAPH).agg(
+        F.count("*").alias("nodes"),
+        round9(F.sqrt(F.sum(F.col("centrality") * F.col("centrality")))).alias("norm"),
+        (F.min("centrality") > -1e-9).alias("all_positive"),
+        (F.max(rest) < 1e-6).alias("solves_its_equation"),
+    )
 
 
 @query("heavy_features")
@@ -137,18 +160,24 @@ def _(spark, sf):
     return graph.heavy_features(*_inputs(spark, sf))
 
 
+MEASURES = {
+    "node_degree": ("n", "degree"), "farness": ("far", "farness"), "closeness": ("far", "closeness"), "graph_size": ("g", "graph_size"), "graph_diameter": ("g", "graph_diameter"),
+    **{f"{c}_mean_median_ratio": ("g", f"{c}_mean_median_ratio") for c in ("in_degree", "out_degree", "degree")},
+}
+
+
 @query("heavy_feature_measures", with_inputs("golden links",
        "SELECT b.doc_id, b.node AS entity_id, " + ", ".join(
-           f"coalesce(max(n.degree) FILTER (WHERE n.variant = '{v}'), 0)::DOUBLE AS {v}_node_degree, coalesce(max(far.farness) FILTER (WHERE n.variant = '{v}'), 0)::DOUBLE AS {v}_farness, "
-           f"coalesce(max(gs.s) FILTER (WHERE gs.variant = '{v}'), 0)::DOUBLE AS {v}_graph_size"
-           for v in matrix.VARIANTS[2:])
-       + " FROM (SELECT DISTINCT doc_id, node FROM nd WHERE variant = 'v1') b LEFT JOIN (SELECT doc_id, variant, count(*) AS s FROM nd GROUP BY ALL) gs ON gs.doc_id = b.doc_id "
-       "LEFT JOIN nd n ON n.doc_id = b.doc_id AND n.node = b.node AND n.variant = gs.variant LEFT JOIN far ON far.doc_id = n.doc_id AND far.variant = n.variant AND far.node = n.node GROUP BY b.doc_id, b.node",
-       EDGES + ", " + NODES + ", small AS MATERIALIZED (SELECT * FROM edges WHERE variant LIKE 'v0%'), " + PATHS.format(edges="small")
-       + ", far AS MATERIALIZED (" + FAR.format(edges="small") + ")", recursive=True))
-def _(spark, sf):
+           f"coalesce(max({t}.{c}) FILTER (WHERE g.variant = '{v}'), 0)::DOUBLE AS {v}_{m}" for v in matrix.VARIANTS for m, (t, c) in MEASURES.items())
+       + " FROM (SELECT DISTINCT doc_id, node FROM nd) b LEFT JOIN g ON g.doc_id = b.doc_id "
+       "LEFT JOIN nd n ON n.doc_id = b.doc_id AND n.node = b.node AND n.variant = g.variant LEFT JOIN far ON far.doc_id = n.doc_id AND far.variant = n.variant AND far.node = n.node GROUP BY b.doc_id, b.node",
+       EDGES + ", " + NODES + ", " + PATHS.format(edges="edges") + ", far AS MATERIALIZED (" + FAR.format(edges="edges") + "), "
+       f"g AS MATERIALIZED (SELECT a.*, b.graph_diameter FROM (SELECT doc_id, variant, count(*) AS graph_size, {RATIOS} FROM nd GROUP BY ALL) a "
+       "LEFT JOIN (SELECT doc_id, variant, max(d) AS graph_diameter FROM sp GROUP BY ALL) b USING (doc_id, variant))", recursive=True))
+def _(spark, sf):
+    """All columns but the eigenvector's, which eigenvector_facts checks."""
     out = graph.heavy_features(*_inputs(spark, sf))
-    return out.select("doc_id", "entity_id", *[f"{v}_{m}" for v in matrix.VARIANTS[2:] for m in ("node_degree", "farness", "graph_size")])
+    return out.select("doc_id", "entity_id", *[round9(f"{v}_{m}").alias(f"{v}_{m}") for v in matrix.VARIANTS for m in MEASURES])
 
 
 CLASSED = (
@@ -185,7 +214,35 @@ def _(spark, sf):
 
 @query("centrality_report")
 def _(spark, sf):
-    out = graph.centrality_report(_v0_edges(spark, sf))
+    out = graph.centrality_report(_stored_edges(spark, sf))
+    return out.select("doc_id", "variant", "node", *[round9(c, 6).alias(c) for c in out.columns[3:]])
+
+
+UNDIRECTED = (
+    "step AS MATERIALIZED (SELECT * FROM near WHERE node <> other), "
+    "hop(doc_id, variant, src, dst, d) USING KEY (doc_id, variant, src, dst) AS (SELECT DISTINCT doc_id, variant, node, node, 0 FROM near UNION "
+    "SELECT DISTINCT h.doc_id, h.variant, h.src, e.other, h.d + 1 FROM hop h JOIN step e ON e.doc_id = h.doc_id AND e.variant = h.variant AND e.node = h.dst "
+    "LEFT JOIN recurring.hop k ON k.doc_id = h.doc_id AND k.variant = h.variant AND k.src = h.src AND k.dst = e.other WHERE k.d IS NULL), "
+    "ways(doc_id, variant, src, dst, d, n) AS (SELECT doc_id, variant, src, dst, d, 1.0::DOUBLE FROM hop WHERE d = 0 UNION ALL "
+    "SELECT w.doc_id, w.variant, w.src, e.other, w.d + 1, sum(w.n) FROM ways w JOIN step e ON e.doc_id = w.doc_id AND e.variant = w.variant AND e.node = w.dst "
+    "JOIN hop h ON h.doc_id = w.doc_id AND h.variant = w.variant AND h.src = w.src AND h.dst = e.other AND h.d = w.d + 1 GROUP BY ALL), "
+    "way AS MATERIALIZED (SELECT * FROM ways), "
+    "between AS MATERIALIZED (SELECT a.doc_id, a.variant, a.dst AS node, sum(a.n * b.n / c.n) AS x FROM way a JOIN way b ON b.doc_id = a.doc_id AND b.variant = a.variant AND b.src = a.dst AND b.d > 0 "
+    "JOIN way c ON c.doc_id = a.doc_id AND c.variant = a.variant AND c.src = a.src AND c.dst = b.dst AND c.d = a.d + b.d WHERE a.d > 0 GROUP BY ALL), "
+    "deg AS MATERIALIZED (SELECT doc_id, variant, node, sum(CASE WHEN node = other THEN 2 ELSE 1 END) AS links FROM near GROUP BY ALL), "
+    "num AS MATERIALIZED (SELECT doc_id, variant, count(*) AS n FROM deg GROUP BY ALL), "
+    "rch AS MATERIALIZED (SELECT doc_id, variant, src AS node, sum(d) AS far, count(*) AS reached FROM way WHERE d > 0 GROUP BY ALL)"
+)
+
+
+@query("centrality_measures", with_inputs("golden links",
+       "SELECT deg.doc_id, deg.variant, deg.node, round(CASE WHEN n > 1 THEN links / (n - 1) ELSE 1 END, 6) AS degree_centrality, "
+       "round(coalesce(reached / far * reached / (n - 1), 0), 6) AS closeness_centrality, round(CASE WHEN n > 2 THEN coalesce(x, 0) / ((n - 1) * (n - 2)) ELSE 0 END, 6) AS betweenness_centrality "
+       "FROM deg JOIN num USING (doc_id, variant) LEFT JOIN rch USING (doc_id, variant, node) LEFT JOIN between USING (doc_id, variant, node)",
+       EDGES + ", " + NEAR + ", " + UNDIRECTED, recursive=True))
+def _(spark, sf):
+    """Degree, closeness and betweenness of all variants; eigenvector_facts checks the eigenvector."""
+    out = graph.undirected_measures(_stored_edges(spark, sf))
     return out.select("doc_id", "variant", "node", *[round9(c, 6).alias(c) for c in out.columns[3:]])
 
 

@@ -1,10 +1,13 @@
 """Ranking measures, and the paths for groups too large for one task."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from standout.functions.ordering import ordinal, running
-from standout.operators import ranking, scoring, splits, stats
+from standout.operators import models, ranking, scoring, splits, stats
 
 
 def pairs(spark, rows, last):
@@ -36,34 +39,45 @@ def test_perfect_run_beats_all(spark):
     assert weak.agg(F.avg("map")).first()[0] < ranking.document_measures(perfect, golden).agg(F.avg("map")).first()[0]
 
 
-def test_hot_groups_give_the_same_ranks(spark):
-    rows = [(1 if i % 3 else i, i, float(i % 7)) for i in range(3000)]
+def test_ranks_and_sums_of_uneven_groups(spark):
+    rows = [(None if i % 5 == 0 else 1 if i % 3 else i, i, float(i % 7)) for i in range(3000)]
     df = pairs(spark, rows, "score")
-    args = (["doc_id"], F.col("score"), F.col("entity_id"), "rank")
-    plain = ordinal(df, *args)
-    slabs = ordinal(df, *args, hot_rows=100)
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, slabs.collect()))
+    got = ordinal(df, ["doc_id"], F.col("score"), F.col("entity_id"), "rank")
+    plain = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "entity_id")
+    want = df.withColumn("rank", F.row_number().over(plain).cast("long"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    named = got.where("doc_id IS NOT NULL")
     sums = {"total": F.col("score")}
-    a = running(plain, ["doc_id"], "rank", sums)
-    b = running(plain, ["doc_id"], "rank", sums, chunk=64, hot_rows=100)
+    a = running(named, ["doc_id"], "rank", sums)
+    b = running(named, ["doc_id"], "rank", sums, chunk=64)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_hot_groups_give_the_same_report(spark):
+def test_report_of_one_large_document(spark):
     rows = [(1, i, float(i % 11) / 4) for i in range(500)]
-    run = pairs(spark, rows, "score")
-    golden = pairs(spark, [(1, i, float(i % 4)) for i in range(0, 500, 2)], "grade")
-    a = ranking.evaluation_report(run, golden).orderBy("measure", "qid").collect()
-    b = ranking.evaluation_report(run, golden, hot_rows=50).orderBy("measure", "qid").collect()
-    assert [(r[0], r[1]) for r in a] == [(r[0], r[1]) for r in b]
-    assert [r[2] for r in a] == pytest.approx([r[2] for r in b])
+    golden = [(1, i, float(i % 4)) for i in range(0, 500, 2)]
+    report = ranking.evaluation_report(pairs(spark, rows, "score"), pairs(spark, golden, "grade"))
+    got = {r["measure"]: r["value"] for r in report.where("qid = '1'").collect()}
+    grade = dict((e, g) for _, e, g in golden)
+    hits = [grade.get(e, 0.0) >= 2 for _, e, s in sorted(rows, key=lambda r: (-r[2], r[1]))]
+    relevant = sum(hits)
+    assert got["num_rel_ret"] == relevant and got["P_10"] == sum(hits[:10]) / 10 and got["Rprec"] == sum(hits[:relevant]) / relevant
+    assert got["map"] == pytest.approx(sum(sum(hits[: i + 1]) / (i + 1) for i, h in enumerate(hits) if h) / relevant)
 
 
 def test_folds_are_even_and_contiguous(spark):
     df = pairs(spark, [(d, e, 0.0) for d in range(10) for e in range(3)], "score")
-    for hot in (2_000_000, 4):
-        folds = splits.kfold(df, 4, hot_rows=hot).groupBy("fold").count().orderBy("fold").collect()
-        assert [r["count"] for r in folds] == [8, 8, 7, 7]
+    folds = splits.kfold(df, 4).groupBy("fold").count().orderBy("fold").collect()
+    assert [r["count"] for r in folds] == [8, 8, 7, 7]
+
+
+def test_permuted_column_is_one_order_of_the_whole(spark):
+    df = spark.range(2000).select((F.col("id") % 7).alias("doc_id"), F.col("id").alias("entity_id"), (F.col("id") * 3).cast("double").alias("f"), F.lit(1.0).alias("g"))
+    rows = models.permuted(df, "f", seed=3).collect()
+    assert sorted(r["f"] for r in rows) == [3.0 * i for i in range(2000)] and len({r["entity_id"] for r in rows}) == 2000
+    moved = [abs(r["f"] / 3 - r["entity_id"]) for r in rows]
+    assert 500 < sum(moved) / 2000 < 850 and max(moved) > 1700  # a third of the length on average, reaching over all of it
+    assert sorted(map(tuple, models.permuted(df, "f", seed=3).collect())) == sorted(map(tuple, rows))
 
 
 def test_information_gain(spark):
