@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from standout.llm.catalog import query
 from standout.llm.common import stored, table
 from standout.llm.components import components
-from standout.llm.near_copies import shape_roots, sketches
+from standout.llm.near_copies import shape_roots, sketches, text_mark
 
 SEED = 42
 SHINGLE = 3
@@ -153,17 +153,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Documents are linked if their five-word shingles have a Jaccard similarity of 0.8 or more; texts without words are alike.
     Rows without a doc_id stay only where a component has no other. Of repeated rows one stays. All columns are kept.
     """
-    mark = F.crc32(F.coalesce("text", F.lit("")))
     marked = stored(sketches(docs), "near-sketches")
     named = marked.join(shape_roots(docs, marked), "shape", "left").withColumn("root", F.coalesce("root", "shape"))
     one = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    kept = named.groupBy("root").agg(F.min(one).alias("one")).select(
-        F.col("one.doc_id").alias("_kept_id"), F.col("one.mark").alias("_kept_mark")
-    )
-    rows = docs.withColumn("_mark", mark).join(
-        kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi"
-    )
-    return rows.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    kept = named.groupBy("root").agg(F.min(one).alias("one")).select("one.doc_id", "one.mark").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_mark().alias("text_mark"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_mark") == F.col("mark")), "left_semi")
+    return rows.dropDuplicates(["id", "text_mark"]).select("row.*")
 
 
 @query("op1_simhash")

@@ -8,14 +8,15 @@ from standout.llm import common, divergence, fingerprints, language, merkle, mix
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size long, bits long, part int, kind int, "
-    "place long, block int, value long, key string, row long, _mark string, word string, spans string, held_out string"
+    "place long, block int, value long, key string, row long, _mark string, word string, spans string, held_out string, "
+    "mix_size long, _found string, _mix_key string"
 )
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
 
 
 def documents(spark, rows):
     """Rows of (doc_id, text, lang, source), with columns whose names the operators use themselves."""
-    extra = (1, 2, 3, 4, 5, 6, 7, "k", 8, "m", "w", "s", "h")
+    extra = (1, 2, 3, 4, 5, 6, 7, "k", 8, "m", "w", "s", "h", 91, "f", "x")
     return spark.createDataFrame([(d, t, la, s, len(t or ""), *extra) for d, t, la, s in rows], SCHEMA)
 
 
@@ -76,6 +77,8 @@ def test_stages(spark, name, stage):
         out = stage(spark, docs, "")
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert out.columns == docs.columns
+            for r in out.collect():  # other columns keep their values, whatever their names
+                assert (r["size"], r["bits"], r["key"], r["_mark"], r["mix_size"], r["_found"], r["_mix_key"]) == (1, 2, "k", "m", 91, "f", "x")
         assert (out.count() > 0) == bool(rows)
 
 

@@ -106,6 +106,40 @@ def test_near_copies_are_those_of_brute_force(spark):
     assert got == set(root)
 
 
+def test_one_large_family_of_variants(spark):
+    """Five hundred variants of a text, of which brute force links some to the original, some to others and some to none."""
+    rng = random.Random(21)
+    words, texts = sentence(rng, 200).split(), []
+    for k in range(500):
+        own = list(words)
+        for at in rng.sample(range(200), rng.randint(0, 8)):
+            own[at] = f"w{k}x{at}"
+        texts.append(" ".join(own))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    root = list(range(500))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(500), 2):
+        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(500)}
+    assert 20 < len(want) < 400
+    assert {r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()} == want
+
+
+def test_texts_of_equal_crc_and_clashing_columns(spark):
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    schema = "doc_id long, text string, mark string, shape long, id int, text_mark string, row int, _mark string"
+    rows = [(None, t, "m", 1, 2, "t", 3, "u") for t in ("plumless", "buckeroo", "plumless")]
+    out = simhash.one_of_each(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(rows[:2], key=str)
+
+
 def test_chain_budgets():
     assert simhash.chain_budgets(2, 7) == [0, 0, 0, 1, 1, 1, 2]
     masks = simhash.segment_masks()
