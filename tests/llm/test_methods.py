@@ -162,6 +162,27 @@ def test_compact_windows_are_the_tree_of_minima():
         assert substrings.compact_windows(ranks, least) == want
 
 
+@pytest.mark.parametrize("words, changes", [(50, 1), (60, 1), (80, 1), (110, 2)])
+def test_changed_words_do_not_hide_a_passage(words, changes):
+    """Passages with changed words at any place are verified if their whole lengths have a similarity of 0.8 or more."""
+    rng = random.Random(words)
+    alike = found = 0
+    for trial in range(150):
+        one = [f"p{trial}x{i}" for i in range(words)]
+        two = list(one)
+        for at in rng.sample(range(words), changes):
+            two[at] = f"q{trial}x{at}"
+        left, right = ({tuple(t[i : i + 5]) for i in range(words - 4)} for t in (one, two))
+        if len(left & right) / len(left | right) < 0.8:
+            continue
+        alike += 1
+        around = [[f"{side}{k}n{trial}x{i}" for i in range(20)] for side in "ab" for k in range(2)]
+        a, b = (" ".join([*around[2 * k], *text, *around[2 * k + 1]]) for k, text in enumerate((one, two)))
+        spans = list(substrings.verify(a, b))
+        found += any(s[0] < 20 + words and s[0] + s[1] > 20 and s[4] >= 0.8 and min(s[1], s[3]) >= 50 for s in spans)
+    assert alike > 20 and found >= 0.95 * alike
+
+
 def test_repeated_passages(spark):
     rng = random.Random(8)
     passage, other = sentence(rng, 70), sentence(rng, 55)
