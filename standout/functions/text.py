@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,37 @@ def find_nth(text: Column | str, needle: str, n: Column | int) -> Column:
     return F.when(count_in(text, mark) >= n, F.length(head)).otherwise(-1).cast("long")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also inside a lambda function."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def running_sums(sizes: Column, block: int = 128) -> Column:
+    """0, s1, s1 + s2, ... of an integer array of at least one element.
+
+    An array is copied when it grows, so sums are made inside blocks and over the blocks' totals.
+    """
+
+    def summed(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+    def blocks(parts: Column) -> Column:
+        last = F.ceil(F.size(parts) / block).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda b: summed(F.slice(parts, b * block + 1, F.lit(block))))
+
+    def shifted(inner: Column, outer: Column) -> Column:
+        moved = F.zip_with(
+            inner, F.slice(outer, F.lit(1), F.size(inner)),
+            lambda a, start: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda x: x + start),
+        )
+        return F.array_append(F.flatten(moved), F.element_at(outer, -1))
+
+    def joined(inner: Column) -> Column:
+        return once(summed(F.transform(inner, lambda a: F.element_at(a, -1))), lambda outer: shifted(inner, outer))
+
+    return once(sizes, lambda parts: once(blocks(parts), joined))
+
+
 def occurrences(lowered: Column | str, needle: Column) -> Column:
     """0-based offsets of every hit of a lower-case needle in a lower-case text, overlapping ones included.
 
@@ -52,42 +85,45 @@ def occurrences(lowered: Column | str, needle: Column) -> Column:
         lambda k: (k < size) & (F.substring(needle, F.lit(1), k) == F.substring(needle, size - k + 1, k)),
     )
 
-    def places(pattern: Column, gap: Column, first: Column) -> Column:
-        ends = F.aggregate(
-            F.split(lowered, pattern, -1),
-            F.array(F.lit(0)),
-            lambda acc, piece: F.array_append(acc, F.element_at(acc, -1) + F.length(piece) + gap),
-        )
+    def places(pattern: Column, gap: Column) -> Column:
+        ends = running_sums(F.transform(F.split(lowered, pattern, -1), lambda piece: F.length(piece) + gap))
         # the last running length lies behind the text; the first is a hit only if the text starts with it
-        inner = F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 2, F.lit(0)))
-        return F.concat(first, inner)
+        return once(ends, lambda e: F.slice(e, F.lit(2), F.greatest(F.size(e) - 2, F.lit(0))))
 
     none = F.array().cast("array<int>")
     front = F.when(F.startswith(lowered, needle), F.array(F.lit(0))).otherwise(none)
-    ahead = places(F.concat(F.lit("(?="), quoted, F.lit(")")), F.lit(0), front)
-    plain = F.transform(places(quoted, size, none), lambda at: at - size)
+    ahead = F.concat(front, places(F.concat(F.lit("(?="), quoted, F.lit(")")), F.lit(0)))
+    plain = F.transform(places(quoted, size), lambda at: at - size)
     return F.when((size > 0) & F.contains(lowered, needle), F.when(repeats, ahead).otherwise(plain)).otherwise(none)
 
 
 def with_offsets(rows: DataFrame, sizes: str, name: str, block: int = 128) -> DataFrame:
-    """Add the running sums 0, s1, s1 + s2, ... of an integer array column of at least one element.
+    """Add the running sums 0, s1, s1 + s2, ... of an integer array column of at least one element."""
+    return rows.withColumn(name, running_sums(F.col(sizes), block))
 
-    An array is copied when it grows, so sums are made inside blocks and over the blocks' totals.
-    """
 
-    def summed(parts: Column) -> Column:
-        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+def sign_places(text: Column | str, sign: str) -> Column:
+    """Ascending 0-based offsets of a one-character sign; the text is cut once."""
+    pieces = F.split(col(text), F.lit(f"\\Q{sign}\\E"), -1)
+    ends = running_sums(F.transform(pieces, lambda p: F.length(p) + 1))
+    return once(ends, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x - 1))
 
-    last = F.ceil(F.size(sizes) / block).cast("int") - 1
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
-    rows = rows.withColumn("_inner", F.transform(blocks, summed))
-    rows = rows.withColumn("_outer", summed(F.transform("_inner", lambda a: F.element_at(a, -1))))
-    shifted = F.zip_with(
-        "_inner", F.slice("_outer", F.lit(1), F.size("_inner")),
-        lambda a, start: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda x: x + start),
-    )
-    whole = F.array_append(F.flatten(shifted), F.element_at("_outer", -1))
-    return rows.withColumn(name, whole).drop("_inner", "_outer")
+
+def rank_in(ordered: Column, value: Column) -> Column:
+    """Number of elements of an ascending array that are smaller than a value, by halving."""
+    state = F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+
+    def halved(s: Column) -> Column:
+        low, high = s["low"], s["high"]
+        middle = F.shiftright(low + high, 1)
+        right = (low < high) & (F.get(ordered, middle) < value)
+        return F.struct(
+            F.when(right, middle + 1).otherwise(low).alias("low"),
+            F.when(right | (low >= high), high).otherwise(middle).alias("high"),
+        )
+
+    return F.aggregate(steps, state, lambda s, _: halved(s), lambda s: s["low"])
 
 
 def normalise_text(text: Column | str, collapse: bool = False) -> Column:
@@ -119,16 +155,18 @@ def section_bounds(body: Column | str) -> Column:
     return F.struct(opening.alias("opening_end"), closing.alias("closing_start"), size.alias("size"))
 
 
-def sentence_place(body: Column | str, start: Column | str) -> Column:
-    """Relative place of an offset in its full-stop delimited sentence.
+def sentence_place(stops: Column, start: Column) -> Column:
+    """Relative place of an offset in its sentence, from the ascending offsets of the full stops.
 
     NULL on a full stop and after the last one.
     """
-    body, start = col(body), col(start)
-    head = sub(body, 0, start)
-    low = start - F.length(F.substring_index(head, ".", -1))
-    high = F.call_function("locate", F.lit("."), body, (start + 1).cast("int")) - 1
-    return F.when(high > start, (start - low) / (high - low))
+
+    def between(r: Column) -> Column:
+        low = F.coalesce(F.get(stops, r - 1) + 1, F.lit(0))
+        high = F.get(stops, r)
+        return F.when(high > start, (start - low) / (high - low))
+
+    return once(rank_in(stops, start), between)
 
 
 def upper_count(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from standout.functions import porter
-from standout.functions.text import ngram_window, normalise_text
+from standout.functions.text import normalise_text, rank_in, running_sums
 
 MIN_LETTERS = 3
 NEUTRAL = 0.5
@@ -184,20 +184,99 @@ def propagated_sentiment(
     return sums.select(*keys, value.alias("sentiment"))
 
 
+def _fields(docs: DataFrame) -> DataFrame:
+    """``doc_id, field, text``: the normalised title and body, cut into blank-separated tokens as ``tokens``."""
+    fields = F.array(
+        F.struct(F.lit("title").alias("field"), F.col("title").alias("text")),
+        F.struct(F.lit("body").alias("field"), F.col("body").alias("text")),
+    )
+    rows = docs.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.text")
+    return rows.select("doc_id", "field", F.split(normalise_text(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
+
+
+def _mentioned(mentions: DataFrame) -> DataFrame:
+    """The mentions of a field, each once and no more than its text has room for, in one row."""
+    item = F.struct("entity_id", "start", "end")
+    return mentions.groupBy("doc_id", "field").agg(F.collect_set(item).alias("found"))
+
+
+def _token_at(starts: Column, m: Column) -> Column:
+    """The mention with the places of its first and last token among the tokens' ascending starts."""
+    return F.struct(
+        m["entity_id"].alias("entity_id"),
+        m["start"].alias("start"),
+        (rank_in(starts, m["start"] + 1) - 1).alias("a"),
+        (rank_in(starts, m["end"] + 1) - 1).alias("b"),
+    )
+
+
 def mention_windows(docs: DataFrame, mentions: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """Window texts of each mention for each number of words on both sides.
 
-    Texts are normalised once per document, before they meet their mentions.
+    A text is normalised and cut once; a mention's tokens are found by halving, so a window costs its own words only.
     """
-    plain = docs.select("doc_id", normalise_text("title").alias("_title"), normalise_text("body").alias("_body"))
-    rows = mentions.select("doc_id", "entity_id", "field", "start", "end").join(plain, "doc_id")
-    text = F.when(F.col("field") == "title", F.col("_title")).otherwise(F.col("_body"))
-    windows = F.array(
-        *[F.struct(F.lit(n).alias("length"), ngram_window(text, "start", "end", n, plain=True).alias("text")) for n in lengths]
-    )
-    return rows.select("doc_id", "entity_id", "field", "start", F.explode(windows).alias("w")).select(
-        "doc_id", "entity_id", "field", "start", "w.length", "w.text"
+    starts = running_sums(F.transform("tokens", lambda t: F.length(t) + 1))
+    rows = _fields(docs).withColumn("starts", F.slice(starts, F.lit(1), F.size("tokens")))
+    rows = rows.join(_mentioned(mentions), ["doc_id", "field"])
+    last = F.size("tokens") - 1
+
+    def window(m: Column, n: int) -> Column:
+        at = F.sequence(F.greatest(m["a"] - n, F.lit(0)), F.least(m["b"] + n, last))
+        text = F.trim(F.array_join(F.transform(at, lambda i: F.get("tokens", i)), " "))
+        return F.struct(m["entity_id"].alias("entity_id"), m["start"].alias("start"), F.lit(n).alias("length"), text.alias("text"))
+
+    # unfolded by the outer form: for the other the optimizer adds a filter on the array, which would be computed again
+    placed = F.transform("found", lambda m: _token_at(F.col("starts"), m))
+    cut = F.flatten(F.transform(placed, lambda m: F.array(*[window(m, n) for n in lengths])))
+    rows = rows.select("doc_id", "field", cut.alias("cut")).select("doc_id", "field", F.explode_outer("cut").alias("w"))
+    return rows.select("doc_id", "w.entity_id", "field", "w.start", "w.length", "w.text")
+
+
+def window_sums(docs: DataFrame, mentions: DataFrame, lexicon: DataFrame, lengths: Sequence[int], stem: bool = False) -> DataFrame:
+    """``doc_id, entity_id, field, start, length, words, total, positive, negative`` of each mention's windows.
+
+    ``lexicon`` has one row per term. Tokens are scored once per text, whatever the number of mentions and lengths; running sums over
+    a text's tokens, kept as one array of the text, give each window by two look-ups. Texts are shuffled, and not their tokens, where the
+    lexicon is below the optimizer's broadcast threshold.
+    """
+    keys = ["doc_id", "field"]
+    rows = _fields(docs).repartition(*keys)
+    rows = rows.select(*keys, F.posexplode("tokens").alias("i", "token"))
+    rows = with_stems(rows, "token", stem).withColumn("stem", F.when(F.length("stem") >= MIN_LETTERS, F.col("stem")))
+    rows = _with_scores(rows, lexicon)
+    order = Window.partitionBy(*keys).orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    score = F.col("score")
+
+    def running(value: Column) -> Column:
+        return F.sum(value.cast("long")).over(so_far)
+
+    rows = rows.select(
+        *keys, "i",
+        (running(F.length("token") + 1) - F.length("token") - 1).alias("start"),
+        running(F.when(F.col("stem").isNotNull(), 1).otherwise(0)).alias("words"),
+        running(F.coalesce(score, F.lit(0))).alias("total"),
+        running(F.when(score >= 0, 1).otherwise(0)).alias("positive"),
+        running(F.when(score < 0, 1).otherwise(0)).alias("negative"),
     )
+    sums = ["words", "total", "positive", "negative"]
+    texts = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "start", *sums))).alias("sums"))
+    texts = texts.withColumn("starts", F.transform("sums", lambda s: s["start"]))
+    rows = texts.join(_mentioned(mentions), keys)
+    none = F.lit(0).cast("long")
+
+    def window(m: Column, n: Column) -> Column:
+        high = F.get("sums", F.least(m["b"] + n, F.size("sums") - 1))
+        low = F.get("sums", m["a"] - n - 1)
+        ends = [(high[c] - F.when(m["a"] > n, low[c]).otherwise(none)).alias(c) for c in sums]
+        return F.struct(m["entity_id"].alias("entity_id"), m["start"].alias("start"), n.alias("length"), *ends)
+
+    placed = F.transform("found", lambda m: _token_at(F.col("starts"), m))
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    cut = F.flatten(F.transform(placed, lambda m: F.transform(sizes, lambda n: window(m, n))))
+    rows = rows.select(*keys, cut.alias("cut"))
+    rows = rows.select(*keys, F.explode_outer("cut").alias("w"))
+    return rows.select("doc_id", "w.entity_id", "field", "w.start", "w.length", *[f"w.{c}" for c in sums])
 
 
 window_training_texts = mention_windows
@@ -218,8 +297,7 @@ def sentiment_features_by_length(
     docs: DataFrame, mentions: DataFrame, lexicon: DataFrame, lengths: Sequence[int], stem: bool = False, agg: str = "sum"
 ) -> DataFrame:
     """The same for several window lengths in one job, one row per (document, entity, length)."""
-    keys = ["doc_id", "entity_id", "length", "field", "start"]
-    scores = text_scores(text_tokens(mention_windows(docs, mentions, lengths), keys, stem, normalised=True), lexicon, keys)
+    scores = window_sums(docs, mentions, lexicon, lengths, stem)
     fold = F.sum if agg == "sum" else F.avg
 
     def value(field: str, c: Column, default: float) -> Column:
@@ -244,9 +322,10 @@ def multi_window_sentiment(
     stem: bool = False,
 ) -> DataFrame:
     """Propagated sentiment summed over window lengths and mentions per (document, entity)."""
-    keys = ["doc_id", "entity_id", "length", "field", "start"]
-    values = propagated_sentiment(mention_windows(docs, mentions, lengths), weights, lexicon, keys, stem, True)
-    return values.groupBy("doc_id", "entity_id").agg(F.sum("sentiment").alias("sentiment"))
+    sums = window_sums(docs, mentions, weights.select("term", F.col("total").alias("score")), lengths, stem)
+    ratio = propagation_ratio(weights, lexicon).scalar()
+    value = F.try_divide(F.try_divide("total", ratio), F.col("words").cast("double"))
+    return sums.groupBy("doc_id", "entity_id").agg(F.sum(value).alias("sentiment"))
 
 
 def sentiment_delta_by_class(pairs: DataFrame, scores: DataFrame) -> DataFrame:

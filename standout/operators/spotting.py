@@ -1,7 +1,7 @@
 """Mention detection. Output: ``doc_id, field, entity_id, start, end, surface``.
 
 ``docs`` are ``doc_id, title, body``; texts are shuffled at most once, joined with the per-document
-list of entities, and only then unfolded, so no text is repeated in a shuffle.
+list of entities and searched there; only places are unfolded, so no text is repeated.
 """
 
 from __future__ import annotations
@@ -9,29 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standout.functions.text import occurrences, sub, with_offsets
+from standout.functions.text import occurrences, once, sub, with_offsets
 
 MENTION = ["doc_id", "field", "entity_id", "start", "end", "surface"]
 
 
-def _wanted(doc_entities: DataFrame, titles: DataFrame | None) -> DataFrame:
-    """One row per document with its entities and needles (underscores are blanks)."""
+def _wanted(doc_entities: DataFrame, titles: DataFrame | None, fallback: bool) -> DataFrame:
+    """One row per document with its different needles (underscores are blanks) and their entities."""
     rows = doc_entities if titles is None else doc_entities.join(titles.select("entity_id", "title"), "entity_id")
     needle = F.lower(F.replace("title", F.lit("_"), F.lit(" ")))
-    first = F.lower(F.substring_index("title", "_", 1))
-    item = F.struct("entity_id", needle.alias("needle"), first.alias("first"))
-    return rows.groupBy("doc_id").agg(F.collect_set(item).alias("wanted"))
+    first = F.lower(F.substring_index("title", "_", 1)) if fallback else F.lit("")
+    item = F.struct("entity_id", first.alias("first"))
+    rows = rows.groupBy("doc_id", needle.alias("needle")).agg(F.collect_set(item).alias("entities"))
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("needle", "entities")).alias("wanted"))
 
 
-def _by_field(docs: DataFrame, doc_entities: DataFrame, titles: DataFrame | None) -> DataFrame:
-    fields = F.array(
-        F.struct(F.lit("title").alias("field"), F.col("title").alias("text"), F.lower("title").alias("low")),
-        F.struct(F.lit("body").alias("field"), F.col("body").alias("text"), F.lower("body").alias("low")),
-    )
-    joined = docs.select("doc_id", fields.alias("fields")).join(_wanted(doc_entities, titles), "doc_id")
-    pairs = joined.select("doc_id", F.explode("wanted").alias("w"), "fields")
-    return pairs.select("doc_id", "w.*", F.explode("fields").alias("f")).select(
-        "doc_id", "entity_id", "needle", "first", "f.*"
+def _mention(text: Column, p: Column) -> Column:
+    return F.struct(
+        p["start"].cast("long").alias("start"), p["end"].cast("long").alias("end"),
+        sub(text, p["start"], p["width"]).alias("surface"),
     )
 
 
@@ -48,9 +44,7 @@ def _random_place(doc_id: Column, entity_id: Column, text: Column) -> Column:
 
 def _places(starts: Column, needle: Column) -> Column:
     width = F.length(needle)
-    return F.transform(
-        starts, lambda s: F.struct(s.alias("start"), (s + width).alias("end"), width.alias("width"))
-    )
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + width).alias("end"), width.alias("width")))
 
 
 def spot_titles(
@@ -66,33 +60,58 @@ def spot_titles(
     Where an entity's title is not found, its first ``_`` token is searched; where that fails in
     a body too, one mention at a reproducible place stands in. ``doc_entities`` is
     ``doc_id, entity_id`` with ``titles(entity_id, title)``, or carries ``title`` itself.
+
+    A text stays in one row with the needles of its document: each different needle is searched once, the first
+    token of each entity that is not found once more, and only the places found are unfolded.
     """
-    pairs = _by_field(docs, doc_entities, titles)
-    exact = occurrences("low", F.col("needle"))
-    rows = pairs.withColumn("exact", exact)
-    found = F.size("exact") > 0
-    places = _places(F.col("exact"), F.col("needle"))
-    stage = F.lit("title")
-    if fallback:
-        rows = rows.withColumn("part", F.when(~found, occurrences("low", F.col("first"))))
-        part_found = F.size(F.coalesce("part", F.array())) > 0
-        stage = F.when(found, stage).when(part_found, F.lit("token"))
-        places = F.when(found, places).when(part_found, _places(F.col("part"), F.col("first")))
-        if random_place:
-            place = _random_place(F.col("doc_id"), F.col("entity_id"), F.col("text"))
-            usable = (F.col("field") == "body") & (F.length("text") > 0)
-            places = places.when(usable, place)
-            stage = stage.when(usable, F.lit("place"))
-    rows = rows.select("doc_id", "field", "entity_id", "text", stage.alias("stage"), F.explode(places).alias("p"))
-    out = rows.select(
-        "doc_id",
-        "field",
-        "entity_id",
-        F.col("p.start").cast("long").alias("start"),
-        F.col("p.end").cast("long").alias("end"),
-        sub("text", F.col("p.start"), F.col("p.width")).alias("surface"),
-        "stage",
+    fields = F.array(
+        F.struct(F.lit("title").alias("field"), F.col("title").alias("text"), F.lower("title").alias("low")),
+        F.struct(F.lit("body").alias("field"), F.col("body").alias("text"), F.lower("body").alias("low")),
     )
+    rows = docs.select("doc_id", fields.alias("fields")).join(_wanted(doc_entities, titles, fallback), "doc_id")
+
+    def hits(text: Column, w: Column, needle: Column, stage: str, starts: Column) -> Column:
+        return F.struct(
+            w["entity_id"].alias("entity_id"), F.lit(stage).alias("stage"),
+            F.transform(_places(starts, needle), lambda p: _mention(text, p)).alias("places"),
+        )
+
+    def token_or_place(f: Column, w: Column) -> Column:
+        # an entity whose title is not found
+        none = hits(f["text"], w, w["first"], "token", F.array().cast("array<int>"))
+        usable = (f["field"] == "body") & (F.length(f["text"]) > 0)
+        place = F.struct(
+            w["entity_id"].alias("entity_id"), F.lit("place").alias("stage"),
+            F.transform(
+                _random_place(F.col("doc_id"), w["entity_id"], f["text"]), lambda p: _mention(f["text"], p)
+            ).alias("places"),
+        )
+        other = F.when(usable, place).otherwise(none) if random_place else none
+        return once(
+            occurrences(f["low"], w["first"]),
+            lambda at: F.when(F.size(at) > 0, hits(f["text"], w, w["first"], "token", at)).otherwise(other),
+        )
+
+    def searched(f: Column, needle: Column, entities: Column) -> Column:
+        def of_needle(at: Column) -> Column:
+            def of_entity(w: Column) -> Column:
+                whole = hits(f["text"], w, needle, "title", at)
+                return F.when(F.size(at) > 0, whole).otherwise(token_or_place(f, w)) if fallback else whole
+
+            return F.transform(entities, of_entity)
+
+        return once(occurrences(f["low"], needle), of_needle)
+
+    def of_field(f: Column) -> Column:
+        per_needle = F.transform("wanted", lambda n: searched(f, n["needle"], n["entities"]))
+        found = F.filter(F.flatten(per_needle), lambda e: F.size(e["places"]) > 0)
+        return F.struct(f["field"].alias("field"), found.alias("found"))
+
+    rows = rows.where("size(wanted) > 0").select("doc_id", F.transform("fields", of_field).alias("fields"))
+    # the outer forms: for the others the optimizer adds a filter on the array, which would search the text again
+    rows = rows.select("doc_id", F.inline_outer("fields")).select("doc_id", "field", F.inline_outer("found"))
+    rows = rows.where("places IS NOT NULL").select("doc_id", "field", "entity_id", "stage", F.inline_outer("places"))
+    out = rows.select(*MENTION, "stage")
     return out if keep_stage else out.drop("stage")
 
 
@@ -111,7 +130,7 @@ def word_ngrams(docs: DataFrame, max_words: int = 4) -> DataFrame:
         "words",
         lambda w, i: F.struct(F.element_at("starts", i + 1).alias("start"), F.slice("words", i + 1, F.lit(max_words)).alias("next")),
     )
-    rows = words.select("doc_id", "field", F.explode(places).alias("p"))
+    rows = words.select("doc_id", "field", F.explode_outer(places).alias("p"))
     rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("p.next"))))
     piece = F.array_join(F.slice("p.next", F.lit(1), F.col("n")), " ")
     return rows.select("doc_id", "field", F.col("p.start").cast("long").alias("start"), piece.alias("piece"))
