@@ -6,11 +6,14 @@ every fit, prediction and metric is a distributed job.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -50,14 +53,45 @@ def train_extra_trees(df: DataFrame, names: Sequence[str], target: str = "grade"
     return train_forest(df, names, target, seed, **{"maxBins": EXTRA_BINS, "bootstrap": True, **settings})
 
 
+def _fourier_stages(df: DataFrame, names: Sequence[str], components: int, gamma: float | None, seed: int) -> list:
+    """Random Fourier features of the standardised columns: their inner products approach ``exp(-gamma * distance ** 2)``.
+
+    One aggregate gives means and deviations; weights and phases are drawn from the seed, so the stage is plain SQL that
+    is saved with the model. A column without spread takes no part.
+    """
+    ends = df.agg(*[F.struct(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std")).alias(f"_{i}") for i, n in enumerate(names)]).first()
+    usable = [(n, e["mean"], e["std"]) for n, e in zip(names, ends) if e["std"]]
+    draw = random.Random(seed)
+    spread = math.sqrt(2 * (gamma or 1 / max(len(usable), 1)))
+    columns = []
+    for k in range(components):
+        terms = [f"{draw.gauss(0, spread)!r}D * (`{n}` - {mean!r}D) / {std!r}D" for n, mean, std in usable]
+        phase = draw.uniform(0, 2 * math.pi)
+        columns.append(f"{math.sqrt(2 / components)!r}D * cos({' + '.join([*terms, f'{phase!r}D'])}) AS _wave_{k}")
+    waves = [f"_wave_{k}" for k in range(components)]
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"), vector(waves)]
+
+
 def train_candidate_classifier(
-    df: DataFrame, names: Sequence[str], label: str = "y", negative_weight: float = NEGATIVE_WEIGHT, linear: bool = True, **settings
+    df: DataFrame,
+    names: Sequence[str],
+    label: str = "y",
+    negative_weight: float = NEGATIVE_WEIGHT,
+    linear: bool = True,
+    components: int = 0,
+    gamma: float | None = None,
+    seed: int = 0,
+    **settings,
 ) -> PipelineModel:
-    """Weighted two-class model; the kernel machine of the original is replaced by a linear or boosted one."""
+    """Weighted two-class model: linear, boosted (``linear=False``), or a linear machine over ``components`` random
+    Fourier features, which approaches the one with a Gaussian kernel (``gamma``: 1 / number of columns)."""
     weighted = df.withColumn("_weight", F.when(F.col(label) == 1, 1.0).otherwise(negative_weight))
-    kind = LinearSVC if linear else GBTClassifier
+    kind = LinearSVC if linear or components else GBTClassifier
     stage = kind(labelCol=label, predictionCol="estimate", weightCol="_weight", **settings)
-    return _fit(stage, weighted, names)
+    if not components:
+        return _fit(stage, weighted, names)
+    rows = clean_features(weighted, names)
+    return Pipeline(stages=[*_fourier_stages(rows, names, components, gamma, seed), stage]).fit(rows)
 
 
 def score(

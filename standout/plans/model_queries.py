@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from standout.operators import models, splits
 from standout.plans import inputs
 from standout.plans.catalog import query
+from standout.plans.inputs import with_inputs
 from standout.session import cut_lineage
 
 NAMES = ["f1", "f2", "f3", "f4"]
@@ -39,6 +40,21 @@ _scored("train_extra_trees", lambda train: models.train_extra_trees(train, NAMES
 _scored("train_candidate_classifier", lambda train: models.train_candidate_classifier(train, NAMES, maxIter=10))
 
 
+@query("kernel_classifier_facts", with_inputs("matrix", "SELECT count(*) AS rows, true AS inside_found, true AS beats_line FROM matrix"))
+def _(spark, sf):
+    """Lines inside an ellipse of quantity and discount, which no straight line separates."""
+    inside = F.pow((F.col("f1") - 25.5) / 25, 2) + F.pow((F.col("f3") - 0.05) / 0.05, 2) < 0.6
+    rows = cut_lineage(inputs.matrix(spark, sf).select("f1", "f3", F.when(inside, 1).otherwise(0).alias("y")))
+    names = ["f1", "f3"]
+    waves = models.train_candidate_classifier(rows, names, negative_weight=1.0, components=64, maxIter=50)
+    line = models.train_candidate_classifier(rows, names, negative_weight=1.0, maxIter=50)
+    hit = F.avg((F.col("estimate") == F.col("y")).cast("double"))
+    curved = waves.transform(rows).agg(F.count("*").alias("rows"), hit.alias("curved"))
+    straight = line.transform(rows).agg(hit.alias("straight"))
+    both = curved.crossJoin(straight)  # one row each
+    return both.select("rows", (F.col("curved") > 0.9).alias("inside_found"), (F.col("curved") > F.col("straight") + 0.1).alias("beats_line"))
+
+
 @query("grid_search")
 def _(spark, sf):
     train, _test = _sides(spark, sf)
