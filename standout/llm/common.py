@@ -57,20 +57,22 @@ def unsigned_share(hashed: Column) -> Column:
     return hashed.cast("double") / F.lit(2.0**64) + F.lit(0.5)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, group: str | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str | Sequence[str], rows: int, group: str | None = None) -> DataFrame:
     """At most ``rows`` rows, or rows of each value of ``group`` (few values), those with the smallest hash of ``key``.
 
+    ``key`` is one column or several that together tell most rows apart: rows of one key come in or stay out together.
     Counts fix a hash threshold that about three times as many rows pass, so that the exact choice by row number sees few
     rows from every task whatever the table's size.
     """
-    order = F.xxhash64(key)
+    keys = [key] if isinstance(key, str) else list(key)
+    order = F.xxhash64(*keys)
     if group is None:
         size = F.lit(df.count())
     else:
         sizes = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
         size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col(group)] if sizes else F.lit(0)
     near = df.where(unsigned_share(order) * size <= 3.0 * rows)
-    place = Window.partitionBy(F.lit(0) if group is None else group).orderBy(order, key)
+    place = Window.partitionBy(F.lit(0) if group is None else group).orderBy(order, *keys)
     return near.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= rows).drop("_r")
 
 

@@ -171,8 +171,8 @@ def predict(net: ByteNetwork | None, texts: Iterator[str | None]) -> tuple[list[
 def fit(docs: DataFrame) -> ByteNetwork | None:
     """Train on a bounded sample of the documents whose remainder by 4 is not 2; None where no such text has a language.
 
-    The sample has at most 1000 documents of each language, those with the smallest hash of doc_id, and of each a slice of
-    1024 characters at a place that the hash fixes.
+    The sample has at most 1000 documents of each language, those with the smallest hash of doc_id and slice, and of each
+    a slice of 1024 characters at a place that a hash of doc_id fixes.
     """
     labelled = docs.where(remainder("doc_id", 4) != 2).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
@@ -180,7 +180,7 @@ def fit(docs: DataFrame) -> ByteNetwork | None:
     labelled = labelled.select(
         "doc_id", F.col("lang").cast("string"), F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("slice")
     )
-    rows = bounded_sample(labelled, "doc_id", SAMPLE_DOCUMENTS, "lang").collect()
+    rows = bounded_sample(labelled, ["doc_id", "slice"], SAMPLE_DOCUMENTS, "lang").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, r["slice"]))
     return train([r["slice"] for r in rows], [r["lang"] for r in rows]) if rows else None
 

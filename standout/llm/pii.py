@@ -380,11 +380,11 @@ def _labelled(text: str, draw: np.random.Generator) -> Iterator[tuple[list[int],
 def fit(docs: DataFrame) -> Tagger | None:
     """Train on a bounded sample of labelled windows; None where no text holds a digit or an at sign.
 
-    At most 600 documents with such a character, those with the smallest hash of doc_id, give 4 windows each, labelled by
+    At most 600 documents with such a character, those with the smallest hash of doc_id and text, give 4 windows each, labelled by
     the fixed patterns.
     """
     some = docs.where("text RLIKE '[0-9@]'").select("doc_id", "text")
-    sample = bounded_sample(some, "doc_id", SAMPLE_DOCUMENTS)
+    sample = bounded_sample(some, ["doc_id", "text"], SAMPLE_DOCUMENTS)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -471,6 +471,15 @@ def test_tagger_finds_spans_by_itself(monkeypatch):
     assert hits / sum(map(len, base)) > 0.9 and hits / max(1, sum(map(len, found))) > 0.9
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_bounded_sample_where_ids_are_missing_or_equal(spark, doc_id):
+    rows = [(doc_id, f"text {i}", "ab"[i % 2]) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert common.bounded_sample(docs, ["doc_id", "text"], 100).count() == 100
+    sizes = common.bounded_sample(docs, ["doc_id", "text"], 50, "lang").groupBy("lang").count().collect()
+    assert sorted(tuple(r) for r in sizes) == [("a", 50), ("b", 50)]
+
+
 def test_held_out_language(spark):
     rng = random.Random(3)
     stock = {"aa": "the of and ing tion er".split(), "bb": "der die und ung keit sch".split(), "cc": "los que ción ado mente as".split()}
