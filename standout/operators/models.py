@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from standout.functions.ordering import numbered, union_all
 from standout.operators import ranking, scoring, sentiment
+from standout.operators.extra_trees import train_extra_trees  # noqa: F401  (beside the other kinds of models)
 from standout.operators.golden import attach_golden, only_golden, only_varying
 from standout.operators.matrix import KEYS, clean_features, vector
 from standout.operators.splits import unit_hash
@@ -29,7 +30,6 @@ from standout.operators.splits import unit_hash
 # Fixed training settings.
 BOOSTED = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6, "minInstancesPerNode": 9}
 FOREST = {"numTrees": 50, "maxDepth": 16, "featureSubsetStrategy": "0.5"}
-EXTRA_BINS = 4
 NEGATIVE_WEIGHT = 0.325
 
 
@@ -48,11 +48,6 @@ def train_forest(df: DataFrame, names: Sequence[str], target: str = "grade", see
     return _fit(stage, df, names)
 
 
-def train_extra_trees(df: DataFrame, names: Sequence[str], target: str = "grade", seed: int = 0, **settings) -> PipelineModel:
-    """Stand-in for extremely randomised trees: bootstrapped trees with few candidate thresholds."""
-    return train_forest(df, names, target, seed, **{"maxBins": EXTRA_BINS, "bootstrap": True, **settings})
-
-
 def _fourier_stages(df: DataFrame, names: Sequence[str], components: int, gamma: float | None, seed: int) -> list:
     """Random Fourier features of the standardised columns: their inner products approach ``exp(-gamma * distance ** 2)``.
 

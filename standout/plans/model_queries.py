@@ -36,7 +36,7 @@ def _scored(name, fit):
 
 _scored("train_gbrt", lambda train: models.train_gbrt(train, NAMES, maxIter=5, maxDepth=4))
 _scored("train_forest", lambda train: models.train_forest(train, NAMES, **SMALL))
-_scored("train_extra_trees", lambda train: models.train_extra_trees(train, NAMES, **SMALL))
+_scored("train_extra_trees", lambda train: models.train_extra_trees(train, NAMES))
 _scored("train_candidate_classifier", lambda train: models.train_candidate_classifier(train, NAMES, maxIter=10))
 
 
@@ -55,6 +55,25 @@ def _(spark, sf):
     return both.select("rows", (F.col("curved") > 0.9).alias("inside_found"), (F.col("curved") > F.col("straight") + 0.1).alias("beats_line"))
 
 
+@query("extra_trees_facts", with_inputs("matrix", "SELECT count(*) AS rows, CAST(50 AS BIGINT) AS trees, true AS in_range, "
+       "true AS beats_mean, 'f2,f3' AS leading FROM matrix"))
+def _(spark, sf):
+    """The grade comes from f2 and f3 alone, f2 with the larger spread."""
+    rows = cut_lineage(_graded(spark, sf))
+    model = models.train_extra_trees(rows.where("side = 'train'"), NAMES, maxDepth=6)
+    grade, estimate, is_test = F.col("grade"), F.col("estimate"), F.col("side") == "test"
+    mean = rows.where("side = 'train'").agg(F.avg("grade")).scalar()
+    trees = model.nodes.agg(F.count_distinct("tree")).scalar()
+    leading = model.importances().where("rank <= 2").agg(F.array_join(F.array_sort(F.collect_list("name")), ",")).scalar()
+    return model.transform(rows).agg(
+        F.count("*").alias("rows"),
+        trees.alias("trees"),
+        F.bool_and((estimate >= 0) & (estimate <= 3)).alias("in_range"),
+        (F.avg(F.when(is_test, F.pow(estimate - grade, 2))) < F.avg(F.when(is_test, F.pow(grade - mean, 2))) / 4).alias("beats_mean"),
+        leading.alias("leading"),
+    )
+
+
 @query("grid_search")
 def _(spark, sf):
     train, _test = _sides(spark, sf)
