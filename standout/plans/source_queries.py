@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from standout.plans import inputs
 from standout.plans.catalog import query
 from standout.plans.inputs import with_inputs
+from standout.session import shared_folder
 from standout.sources import documents, tables
 
 
+def _new_folder(spark, name):
+    """An own folder for one run's files, where driver and executors see it; the result reads them, so they stay."""
+    return f"{shared_folder(spark).rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
+
+
 def _corpus_lines(spark, sf):
     """Documents as JSON lines: one paragraph per line of text, plus a caption that is not body."""
     docs = inputs.docs(spark, sf)
@@ -80,6 +88,42 @@ def _(spark, sf):
     return tables.format_run(rows.withColumn("score", F.when(F.col("grade") != 1, F.col("score"))))
 
 
+@query("feature_rows_files", with_inputs("matrix", "SELECT doc_id, entity_id, CAST(y AS DOUBLE) AS golden, CAST(0 AS DOUBLE) AS estimate, "
+       "f1, f3, f4, CAST(NULL AS VARCHAR) AS wrong FROM matrix UNION ALL "
+       "SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, l_returnflag || ',' || l_orderkey FROM lineitem WHERE l_linenumber = 7"))
+def _(spark, sf):
+    """Two partial outputs by a range of documents, one with short lines, found by their names and read as one."""
+    folder, names = _new_folder(spark, "features"), ["f1", "f3", "f4"]
+    rows = inputs.matrix(spark, sf).withColumn("zero", F.lit(0))
+    for part, side in (("part-low", F.col("doc_id") < 5000), ("part-high", F.col("doc_id") >= 5000)):
+        tables.write_feature_rows(rows.where(side).withColumnsRenamed({"y": "golden", "zero": "estimate"}),
+                                  f"{folder}/{part}", names)
+    short = inputs.table(spark, sf, "lineitem").where("l_linenumber = 7")
+    short.select(F.concat_ws(",", "l_returnflag", F.col("l_orderkey").cast("string")).alias("value")).write.mode("append").text(f"{folder}/part-high")
+    rows.select(F.lit("no part").alias("value")).write.text(f"{folder}/other")
+    return tables.parse_feature_rows(documents.collect_partials(spark, f"{folder}/part-*"), names, corrupt="wrong")
+
+
+@query("qrels_file", with_inputs("ranking", "SELECT doc_id, entity_id, CAST(CASE WHEN grade < 2 THEN 0 ELSE grade END AS DOUBLE) AS grade, "
+       "CAST(NULL AS VARCHAR) AS wrong FROM ranking UNION ALL SELECT NULL, NULL, NULL, doc_id || ' 0 ' || entity_id FROM ranking WHERE grade = 3"))
+def _(spark, sf):
+    """Judgements written and read back, with lines that lack the grade."""
+    folder, rows = _new_folder(spark, "qrels"), inputs.ranking(spark, sf)
+    tables.write_qrels(rows, folder)
+    cut = F.concat_ws(" ", F.col("doc_id").cast("string"), F.lit("0"), F.col("entity_id").cast("string"))
+    rows.where("grade = 3").select(cut.alias("value")).write.mode("append").text(folder)
+    return tables.read_qrels(spark, folder, corrupt="wrong")
+
+
+@query("run_file", with_inputs("ranking", "SELECT doc_id, entity_id, CAST(printf('%.9f', CASE WHEN grade = 1 THEN 0 ELSE score END) AS DOUBLE) AS score "
+       "FROM ranking"))
+def _(spark, sf):
+    """A run written and read back; missing scores come back as 0."""
+    folder, rows = _new_folder(spark, "run"), inputs.ranking(spark, sf)
+    tables.write_run(rows.withColumn("score", F.when(F.col("grade") != 1, F.col("score"))), folder)
+    return tables.read_run(spark, folder)
+
+
 @query("read_run", with_inputs("ranking", "SELECT doc_id, entity_id, round(score, 9) AS score FROM ranking"))
 def _(spark, sf):
     return tables.parse_run(tables.format_run(inputs.ranking(spark, sf)))
