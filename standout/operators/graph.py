@@ -22,17 +22,42 @@ GRAPH = ["doc_id", "variant"]
 UNIVERSE = 5  # fixed size of the link universe in the relatedness formula
 TINY_DENOMINATOR = 0.001
 ISOLATED_CLOSENESS = 100.0
-BLOCK = 64  # sources of a row of packed distances
+BLOCK = 64  # sources of a row of packed distances or packed in-links
+MOST_PER_KEY = 4096  # rows a side of a key that one slice of a split join holds
 MERGED_LEVELS = 8  # levels that are read singly before they are merged
 EDGE = ["doc_id", "variant", "src", "dst", "w"]
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, most: int = MOST_PER_KEY) -> DataFrame:
+    """Inner join on ``key`` in which a key with many rows is split over tasks.
+
+    Where a side has more than ``most`` rows of a key, they are dealt by a hash of the side's own id into slices of about
+    that size, and each row of the other side goes to every slice: the same rows come out, and no task meets more than about
+    ``most`` rows a side of one key and slice. Rows of a NULL key take no part. Only the keys above ``most`` are listed.
+    """
+
+    def slices(side: DataFrame, name: str) -> DataFrame:
+        large = side.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        return large.select(key, F.ceil(F.col("_n") / most).cast("int").alias(name))
+
+    parts = slices(left, "_lefts").join(slices(right, "_rights"), key, "full")
+
+    def dealt(side: DataFrame, own: str, own_id: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(own_id), F.coalesce(own, F.lit(1))).cast("int")
+        every = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
+        return side.join(parts, key, "left").select(*side.columns, place.alias(own), F.explode(every).alias(other))
+
+    first, second = dealt(left, "_lefts", left_id, "_rights"), dealt(right, "_rights", right_id, "_lefts")
+    return first.join(second, [key, "_lefts", "_rights"]).drop("_lefts", "_rights")
+
+
 def expand_graph_v1(candidates: DataFrame, links: DataFrame, unit_weights: bool = False) -> DataFrame:
     """Candidates and one hop: against the link direction, weight 2 where both ends are candidates."""
     chosen = candidates.select("doc_id", "entity_id").distinct()
     pairs = links.select("src", "dst").distinct()
-    into = chosen.join(pairs, chosen.entity_id == pairs.dst).select("doc_id", F.col("dst").alias("a"), F.col("src").alias("b"))
-    out = chosen.join(pairs, chosen.entity_id == pairs.src).select("doc_id", F.col("dst").alias("a"), F.col("src").alias("b"))
+    arc = [F.col("dst").alias("a"), F.col("src").alias("b")]
+    into = split_join(chosen.withColumnRenamed("entity_id", "dst"), pairs, "dst", "doc_id", "src").select("doc_id", *arc)
+    out = split_join(chosen.withColumnRenamed("entity_id", "src"), pairs, "src", "doc_id", "dst").select("doc_id", *arc)
     weight = F.lit(1).cast("long") if unit_weights else F.count("*")
     edges = into.unionByName(out).groupBy("doc_id", F.col("a").alias("src"), F.col("b").alias("dst")).agg(weight.alias("w"))
     return edges.select("doc_id", F.lit("v1").alias("variant"), "src", "dst", "w")
@@ -42,7 +67,7 @@ def induced_graph_v0(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """Links with both ends among the candidates, in link direction, weight 1."""
     chosen = candidates.select("doc_id", "entity_id").distinct()
     pairs = links.select("src", "dst").distinct()
-    out = chosen.withColumnRenamed("entity_id", "src").join(pairs, "src")
+    out = split_join(chosen.withColumnRenamed("entity_id", "src"), pairs, "src", "doc_id", "dst")
     both = out.join(chosen.withColumnRenamed("entity_id", "dst"), ["doc_id", "dst"], "left_semi")
     return both.select("doc_id", F.lit("v0").alias("variant"), "src", "dst", F.lit(1).cast("long").alias("w"))
 
@@ -50,8 +75,9 @@ def induced_graph_v0(candidates: DataFrame, links: DataFrame) -> DataFrame:
 def relatedness(pairs: DataFrame, links: DataFrame, total: int = UNIVERSE) -> DataFrame:
     """Link relatedness of distinct pairs ``a, b``; NULL where one end has no in-links at all.
 
-    Common sources are looked up from the end with fewer in-links, so a hub is never unfolded for
-    the sake of a small partner.
+    Common sources are looked up from the end with fewer in-links, so a hub is never unfolded for the sake of a small
+    partner. Sources are packed, 64 neighbouring ids a row, and common ones are the set bits of both; the rows of an end
+    that is looked up often, or has many sources, are split.
     """
     arcs = links.select("src", "dst").distinct()
     sizes = arcs.groupBy("dst").agg(F.count("*").alias("n"))
@@ -64,9 +90,13 @@ def relatedness(pairs: DataFrame, links: DataFrame, total: int = UNIVERSE) -> Da
         F.when(na <= nb, F.col("a")).otherwise(F.col("b")).alias("few"),
         F.when(na <= nb, F.col("b")).otherwise(F.col("a")).alias("many"),
     )
-    shared = rows.select("a", "b", "few", "many").join(arcs.select(F.col("dst").alias("few"), "src"), "few")
-    shared = shared.join(arcs.select(F.col("dst").alias("many"), "src"), ["many", "src"], "left_semi")
-    shared = shared.groupBy("a", "b").agg(F.count("*").alias("common"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("src").bitwiseAND(BLOCK - 1).cast("int"))
+    packed = arcs.groupBy("dst", F.floor(F.col("src") / F.lit(BLOCK)).alias("block")).agg(F.bit_or(bit).alias("bits"))
+    few = packed.withColumnsRenamed({"dst": "few", "bits": "few_bits"})
+    shared = split_join(rows.select("a", "b", "few", "many"), few, "few", "many", "block")
+    shared = shared.join(packed.withColumnsRenamed({"dst": "many", "bits": "many_bits"}), ["many", "block"])
+    both = F.bit_count(F.col("few_bits").bitwiseAND(F.col("many_bits")))
+    shared = shared.groupBy("a", "b").agg(F.sum(both).alias("common"))
     rows = rows.join(shared, ["a", "b"], "left")
 
     def bits(c: Column) -> Column:
@@ -304,13 +334,13 @@ def document_entity_graph(
     nodes = kinds.select("doc_id", F.col("entity_id").alias("node"), label.alias("class"))
     pairs = links.select("src", "dst").distinct()
     if with_neighbours:
-        away = nodes.join(pairs, nodes.node == pairs.src).select("doc_id", F.col("dst").alias("node"))
-        toward = nodes.join(pairs, nodes.node == pairs.dst).select("doc_id", F.col("src").alias("node"))
+        away = split_join(nodes.withColumnRenamed("node", "src"), pairs, "src", "doc_id", "dst").select("doc_id", F.col("dst").alias("node"))
+        toward = split_join(nodes.withColumnRenamed("node", "dst"), pairs, "dst", "doc_id", "src").select("doc_id", F.col("src").alias("node"))
         fresh = away.unionByName(toward).distinct().join(nodes, ["doc_id", "node"], "left_anti")
         nodes = nodes.unionByName(fresh.withColumn("class", F.lit("neighbour")))
     left = nodes.select("doc_id", F.col("node").alias("src"), F.col("class").alias("src_class"))
     right = nodes.select("doc_id", F.col("node").alias("dst"), F.col("class").alias("dst_class"))
-    edges = left.join(pairs, "src").join(right, ["doc_id", "dst"]).select("doc_id", "src", "dst", "src_class", "dst_class")
+    edges = split_join(left, pairs, "src", "doc_id", "dst").join(right, ["doc_id", "dst"]).select("doc_id", "src", "dst", "src_class", "dst_class")
     linked = edges.select("doc_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     alone = nodes.join(linked, ["doc_id", "node"], "left_anti").select(
         "doc_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.col("class").alias("src_class"), F.col("class").alias("dst_class")
