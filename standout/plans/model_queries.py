@@ -35,7 +35,7 @@ def _scored(name, fit):
 
 
 _scored("train_gbrt", lambda train: models.train_gbrt(train, NAMES, maxIter=5, maxDepth=4))
-_scored("train_forest", lambda train: models.train_forest(train, NAMES, **SMALL))
+_scored("train_forest", lambda train: models.train_forest(train, NAMES))
 _scored("train_extra_trees", lambda train: models.train_extra_trees(train, NAMES))
 _scored("train_candidate_classifier", lambda train: models.train_candidate_classifier(train, NAMES, maxIter=10))
 
@@ -84,7 +84,7 @@ def _(spark, sf):
 @query("class_weight_sweep")
 def _(spark, sf):
     train, test = _sides(spark, sf)
-    return models.class_weight_sweep(train, test, NAMES, weights=[0.25, 0.4], maxIter=5)
+    return models.class_weight_sweep(train, test, NAMES, maxIter=5)
 
 
 @query("tree_count_sweep")
@@ -96,7 +96,7 @@ def _(spark, sf):
 @query("learning_curve")
 def _(spark, sf):
     train, test = _sides(spark, sf)
-    return models.learning_curve(train, test, NAMES, [0.5, 1.0], **SMALL)
+    return models.learning_curve(train, test, NAMES, **SMALL)
 
 
 @query("feature_importance")
@@ -115,7 +115,7 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = _sides(spark, sf)
     golden = test.select("doc_id", "entity_id", "grade")
-    return models.backward_elimination(train, test, golden, NAMES, keep=2, **SMALL)
+    return models.backward_elimination(train, test, golden, NAMES, **SMALL)
 
 
 @query("leaf_assignment")
