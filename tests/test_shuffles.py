@@ -29,7 +29,7 @@ def test_expanded_graph_stays_with_its_documents(spark):
     nodes = spark.range(60).select((F.col("id") % 7).alias("doc_id"), (F.col("id") % 11).alias("entity_id")).repartition(4, "doc_id")
     links = spark.range(200).select((F.col("id") % 13).alias("src"), (F.col("id") % 10).alias("dst"))
     edges = graph.expand_graph_v1(nodes, links)
-    assert "SortMergeJoin" not in plan(edges)
+    assert "SortMergeJoin" not in plan(edges) and "SortMergeJoin" not in plan(graph.induced_graph_v0(nodes, links))
     chosen, pairs = set(rows(nodes)), set(rows(links))
     want: dict[tuple, int] = {}
     for doc, entity in chosen:
@@ -44,5 +44,8 @@ def test_many_links_are_joined_in_slices(spark, monkeypatch):
     nodes = spark.createDataFrame([(1, 5), (2, 5), (2, 6)], "doc_id long, entity_id long")
     links = spark.createDataFrame([(5, 6), (6, 5), (5, 5), (7, 6)], "src long, dst long")
     whole = rows(graph.expand_graph_v1(nodes, links))
+    both = rows(graph.induced_graph_v0(nodes, links))
+    assert [r[2:4] for r in both] == [(5, 5), (5, 5), (5, 6), (6, 5)]
     monkeypatch.setattr(graph, "MOST_SENT", 2)
     assert rows(graph.expand_graph_v1(nodes, links)) == whole
+    assert rows(graph.induced_graph_v0(nodes, links)) == both
