@@ -144,3 +144,66 @@ def test_degrees_count_parallel_links(spark):
     links = spark.createDataFrame([(1, 2, 3), (2, 3, 1)], "src long, dst long, n long")
     got = {r["entity_id"]: tuple(r)[1:] for r in kb.entity_degrees(links).collect()}
     assert got == {1: (0, 3, 3), 2: (3, 1, 4), 3: (1, 0, 1)}
+
+
+def random_documents(spark, seed=4):
+    rnd = random.Random(seed)
+    candidates = [(d, rnd.randrange(30)) for d in range(12) for _ in range(rnd.randint(1, 9))] + [(99, 500)]
+    links = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(90)]
+    return spark.createDataFrame(candidates, "doc_id long, entity_id long").repartition(3), links_of(spark, links + [(5, 5), (7, 8), (8, 7)])
+
+
+def table_of(df, digits=9):
+    return sorted(tuple(round(x, digits) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+def test_measures_of_a_documents_graphs_are_those_of_the_edges(spark, monkeypatch):
+    candidates, links = random_documents(spark)
+    edges = graph.all_variants(candidates, links)
+    assert {r["variant"] for r in edges.collect()} == set(graph.VARIANTS)
+    paths = graph.shortest_paths(edges)
+    assert table_of(graph.document_paths(candidates, links)) == table_of(paths)
+    assert table_of(graph.document_diameters(candidates, links)) == table_of(graph.diameter(paths))
+    assert table_of(graph.document_farness(candidates, links)) == table_of(graph.farness(edges, paths))
+    assert table_of(graph.document_report(candidates, links), 6) == table_of(graph.centrality_report(edges), 6)
+    assert table_of(graph.document_centralities(candidates, links)) == table_of(graph.undirected_measures(edges))
+    assert table_of(graph.document_eigenvectors(candidates, links), 6) == table_of(graph.eigenvector_centrality(edges), 6)
+    heavy = {(r["doc_id"], r["entity_id"]): r for r in graph.heavy_features(candidates, links).collect()}
+    wide = {(r["doc_id"], r["variant"]): r for r in graph.degree_ratios(edges).collect()}
+    for r in graph.node_degree(edges).join(graph.farness(edges, paths), [*graph.GRAPH, "node"]).collect():
+        row, whole = heavy[r["doc_id"], r["node"]], wide[r["doc_id"], r["variant"]]
+        assert (row[f"{r['variant']}_node_degree"], row[f"{r['variant']}_farness"]) == (r["degree"], r["farness"])
+        assert row[f"{r['variant']}_closeness"] == pytest.approx(r["closeness"])
+        assert [row[f"{r['variant']}_{c}"] for c in list(whole.asDict())[2:]] == pytest.approx(list(whole)[2:])
+    together = table_of(graph.document_farness(candidates, links))
+    monkeypatch.setattr(graph, "MOST_SENT", 3)  # links that are not sent to the tasks
+    assert table_of(graph.document_farness(candidates, links)) == together
+
+
+def test_measures_shuffle_no_edges(spark):
+    candidates, links = random_documents(spark)
+    rows = graph.document_links(candidates.repartition(4, "doc_id"), links)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 1 and "Sort" not in plan.replace("SortAggregate", "")
+
+
+@pytest.mark.parametrize("near, sent", [(False, 1 << 20), (True, 1 << 20), (True, 3)])
+def test_entities_of_a_document(spark, monkeypatch, near, sent):
+    monkeypatch.setattr(graph, "MOST_SENT", sent)
+    mentions, links = random_documents(spark)
+    golden = mentions.where("(doc_id + entity_id) % 3 = 0").union(spark.createDataFrame([(3, 777), (3, 1)], mentions.schema))
+    arcs = {(r["src"], r["dst"]) for r in links.collect()}
+    own = {}
+    for table, kind in ((golden, "golden"), (mentions, "spotted")):
+        for d, e in set(map(tuple, table.collect())):
+            own.setdefault(d, {}).setdefault(e, set()).add(kind)
+    want = set()
+    for d, nodes in own.items():
+        kinds = {e: "both" if len(k) == 2 else next(iter(k)) for e, k in nodes.items()}
+        if near:
+            kinds = {**{x: "neighbour" for a in arcs for x in a if set(a) & set(nodes)}, **kinds}
+        edges = {(a, b) for a, b in arcs if a in kinds and b in kinds}
+        edges |= {(n, n) for n in kinds if not any(n in a for a in edges)}
+        want |= {(d, a, b, kinds[a], kinds[b]) for a, b in edges}
+    got = table_of(graph.document_entity_graph(golden, mentions, links, with_neighbours=near))
+    assert got == sorted(want)
