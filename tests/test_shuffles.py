@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from standout.operators import graph, spotting
+from standout.operators import graph, sentiment, spotting
 from standout.plans import text_queries
 
 
@@ -49,3 +49,15 @@ def test_many_links_are_joined_in_slices(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_SENT", 2)
     assert rows(graph.expand_graph_v1(nodes, links)) == whole
     assert rows(graph.induced_graph_v0(nodes, links)) == both
+
+
+def test_tokens_are_neither_sorted_nor_shuffled(spark):
+    docs = spark.createDataFrame([(i, "Title", "harbour lanterns running " * 9) for i in range(20)], "doc_id long, title string, body string")
+    docs = docs.repartition(4, "doc_id")
+    mentions = spark.createDataFrame([(i, "body", 1, 8, 16) for i in range(20)], "doc_id long, field string, entity_id long, start int, end int")
+    lexicon = spark.createDataFrame([("harbour", 3), ("title", -2)], "term string, score long")
+    sums = sentiment.window_sums(docs, mentions.repartition(4, "doc_id"), lexicon, [1, 2])
+    assert "Window" not in plan(sums) and plan(sums).count("hashpartitioning") <= 6
+    assert {tuple(r)[2:] for r in sums.collect()} == {("body", 8, 1, 3, 3, 1, 0), ("body", 8, 2, 4, 6, 2, 0)}
+    stems = sentiment.stem_tokens(docs.select("doc_id", "body").withColumnRenamed("body", "text"), ["doc_id"])
+    assert "SortMergeJoin" not in plan(stems) and plan(stems).count("hashpartitioning") <= 2
