@@ -1,9 +1,9 @@
-"""Documents whose sets of five-word shingles are alike: bands of min-hashes find those that may have a partner, prefixes of their
-shingles in the order of rising frequency the candidate pairs, and each candidate is checked exactly."""
+"""Documents whose sets of five-word shingles are alike: bands of min-hashes find those that may have a partner, SimHash fingerprints
+and then prefixes of their shingles in the order of rising frequency the candidate pairs, and each candidate is checked exactly."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from standout.llm.common import new_folder, removed, stored
+from standout.llm.common import fingerprint, new_folder, removed, stored
 from standout.llm.components import components
 from standout.llm.substrings import SHINGLE, shingles, words_of
 
@@ -20,7 +20,8 @@ LEAST, OF = 4, 5
 #: Bands of min-hashes, and min-hashes of a band. Documents of similarity 0.8 share no band with a probability of
 #: (1 - 0.8 ** 4) ** 24, three in a million.
 BANDS, ROWS = 24, 4
-#: Rounds in which the documents of a shingle are compared with one of them only, before those still apart are paired.
+#: Rounds in which the documents of a shingle are compared with one of them only, after the fingerprints and before those still
+#: apart are paired.
 STARS = 1
 #: Shingles that are hashed at once.
 _SLICE = 4096
@@ -73,25 +74,31 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(shape, shingles)`` of the wanted ``(shape, one)``, where ``one`` names a document by doc_id and mark."""
+    """``(shape, bits, shingles)`` of the wanted ``(shape, one)``, where ``one`` names a document by doc_id and mark; ``bits`` is the
+    SimHash fingerprint of the shingles."""
     rows = docs.select("doc_id", text_mark().alias("mark"), "text")
     named = wanted.select("shape", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
     rows = rows.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("shape", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(shapes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            marks = np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64)
+            columns = [pa.array(shapes), pa.array(marks), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["shape", "bits", "shingles"])
+
         for batch in batches:
             shapes, sets, held = [], [], 0
             for shape, text in zip(batch.column("shape").to_pylist(), batch.column("text")):
                 shapes.append(shape)
-                sets.append(shingle_set(text.as_py()).view(np.int64))
+                sets.append(shingle_set(text.as_py()))
                 held += len(sets[-1])
                 if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(shapes), pa.array(sets, pa.list_(pa.int64()))], ["shape", "shingles"])
+                    yield batch_of(shapes, sets)
                     shapes, sets, held = [], [], 0
             if shapes:
-                yield pa.RecordBatch.from_arrays([pa.array(shapes), pa.array(sets, pa.list_(pa.int64()))], ["shape", "shingles"])
+                yield batch_of(shapes, sets)
 
-    return rows.mapInArrow(cut, "shape long, shingles array<long>").dropDuplicates(["shape"])
+    return rows.mapInArrow(cut, "shape long, bits long, shingles array<long>").dropDuplicates(["shape"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -103,12 +110,12 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``(token, shape, size, rest, short)``: the shingles by which a set ``(shape, shingles)`` can meet an alike one.
+    """``(token, shape, size, rest, place)``: the shingles by which a set ``(shape, shingles)`` can meet an alike one.
 
-    Sets of ``x`` and ``y`` shingles, ``x`` not above ``y``, are alike only if 4/9 of ``x + y`` are in both. So, with shingles ordered by
-    the number of sets that have them, they share one of the first ``x - 8x/9 + 1`` of the smaller (``short``) and the first
-    ``y - 4y/5 + 1`` of the larger. Shingles of one set only come first and meet none: a set with too many of them has no prefix
-    left and is out. ``rest`` is the number of the others, a bound on what a pair can share.
+    Sets of ``x`` and ``y`` shingles are alike only if 4/9 of ``x + y`` are in both. So, with shingles ordered by the number of sets
+    that have them, the first that they share has at least that many at and behind its ``place`` in either set (``admits``), and
+    as ``y`` is 4/5 of ``x`` or more it is one of the first ``x - 4x/5 + 1``. Shingles of one set only come first and meet none: a set with
+    too many of them has no prefix left and is out. ``rest`` is the number of the others, a bound on what a pair can share.
     """
     rows = sets.select("shape", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
@@ -117,17 +124,21 @@ def prefixes(sets: DataFrame) -> DataFrame:
     place = F.row_number().over(own.orderBy("sets", "token")) + F.col("size") - F.col("rest")
     rows = rows.withColumn("place", place)
     longest = F.col("size") - F.floor((LEAST * F.col("size") + OF - 1) / OF) + 1
-    short = F.col("size") - F.floor((2 * LEAST * F.col("size") + LEAST + OF - 1) / (LEAST + OF)) + 1
-    rows = rows.where(F.col("place") <= longest)
-    return rows.select("token", "shape", "size", "rest", (F.col("place") <= short).alias("short"))
+    return rows.where(F.col("place") <= longest).select("token", "shape", "size", "rest", "place")
+
 
+def admits(size: str, place: str, other: str) -> Column:
+    """Whether the shingles from a place on are enough to be alike to a set of another size."""
+    return (F.col(size) - F.col(place) + 1) * (LEAST + OF) >= (F.col(size) + F.col(other)) * LEAST
 
-def shape_roots(docs: DataFrame, marked: DataFrame) -> DataFrame:
+
+def shape_roots(docs: DataFrame, marked: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(shape, root)`` of the shapes that are linked to another one; ``marked`` are the sketches of ``docs``.
 
-    Only components are needed, so pairs within one are never compared. At first each member of a shingle's group is compared with
-    one other: the one with the fewest shingles of its own, which is mostly what the others were copied from, then others in
-    turn. Those still in different components are then paired where the prefixes and the bound admit it, whatever their number.
+    Only components are needed, so pairs within one are never compared. At first sets with equal fingerprints and those that
+    ``near`` joins are compared, one of each fingerprint. Then each member of a shingle's group is compared with
+    one other: the one with the fewest shingles of its own, which is mostly what the others were copied from. Those still
+    in different components are then paired at the shingles that admit it from both sides, whatever their number.
     """
     spark, old = docs.sparkSession, []
 
@@ -141,20 +152,22 @@ def shape_roots(docs: DataFrame, marked: DataFrame) -> DataFrame:
     bands_shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     wanted = keyed.join(bands_shared, "band").groupBy("shape").agg(F.min("one").alias("one"))
     sets = kept(shingle_table(docs, wanted), "near-shingles")
+    links = kept(alike(by_fingerprint(sets.select("shape", "bits"), near), sets), "near-links")
+
+    def linked() -> DataFrame:
+        return stored(components(links).select(F.col("node").alias("shape"), "root"), "near-roots")
+
+    roots = linked()
     found = kept(prefixes(sets), "near-prefixes")
-    met = found.groupBy("token").agg(F.count("*").alias("n"), F.max("short").alias("short")).where("n > 1 AND short").select("token")
-    members = kept(found.join(met, "token"), "near-members")
+    met = found.groupBy("token").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1")
+    members = kept(found.join(met, "token").where(admits("size", "place", "least")).drop("n", "least"), "near-members")
+    removed(spark, old[-2])
     bound = F.least("a_rest", "b_rest") * (LEAST + OF) >= (F.col("a_size") + F.col("b_size")) * LEAST
-    short = (F.col("a_short") & (F.col("a_size") <= F.col("b_size"))) | (F.col("b_short") & (F.col("b_size") <= F.col("a_size")))
-    columns = ["shape", "size", "rest", "short", "root"]
-    links = tested = roots = None
+    columns = ["shape", "size", "rest", "place", "root"]
     for turn in range(STARS + 1):
-        if roots is None:
-            now = members.withColumn("root", F.col("shape"))
-        else:
-            now = members.join(roots, "shape", "left").withColumn("root", F.coalesce("root", "shape"))
-            apart = now.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-            now = kept(now.join(apart, "token").select("token", *columns), "near-apart")
+        now = members.join(roots, "shape", "left").withColumn("root", F.coalesce("root", "shape"))
+        apart = now.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        now = kept(now.join(apart, "token").select("token", *columns), "near-apart")
         left, right = (now.select("token", *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
         if turn < STARS:
             first = (F.col("a_size") - F.col("a_rest")) / F.col("a_size") if turn == 0 else F.xxhash64(F.lit(turn), "a_shape")
@@ -162,17 +175,25 @@ def shape_roots(docs: DataFrame, marked: DataFrame) -> DataFrame:
             left = left.groupBy("token").agg(F.min(by).alias("m")).select("token", *[f"m.a_{c}" for c in columns])
             admitted = bound
         else:
-            admitted = bound & (F.col("a_shape") < F.col("b_shape")) & short
+            admitted = (F.col("a_shape") < F.col("b_shape")) & admits("a_size", "a_place", "b_size") & admits("b_size", "b_place", "a_size")
         pairs = left.join(right, "token").where((F.col("a_root") != F.col("b_root")) & admitted)
         pairs = pairs.select(F.least("a_shape", "b_shape").alias("a"), F.greatest("a_shape", "b_shape").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = kept(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         new = kept(alike(pairs, sets), "near-links")
-        if roots is not None and new.isEmpty():
+        removed(spark, *old[-3:-1])
+        if new.isEmpty():
             continue
-        links = new if links is None else links.unionByName(new)
-        roots = stored(components(links).select(F.col("node").alias("shape"), "root"), "near-roots")
+        links = links.unionByName(new)
+        roots = linked()
     removed(spark, *old)
     return roots
+
+
+def by_fingerprint(marks: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs ``(a, b)`` of shapes ``(shape, bits)``: the first of a fingerprint with the others of it, and with the first of a near one."""
+    classes = marks.groupBy("bits").agg(F.min("shape").alias("first"))
+    copies = marks.join(classes, "bits").where("shape <> first").select(F.col("first").alias("a"), F.col("shape").alias("b"))
+    pairs = near(classes.select("bits")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    for bits, name in (("x", "a"), ("y", "b")):
+        pairs = pairs.join(classes.select(F.col("bits").alias(bits), F.col("first").alias(name)), bits)
+    return copies.unionByName(pairs.select("a", "b"))

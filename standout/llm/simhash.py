@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from standout.llm.catalog import query
-from standout.llm.common import stored, table
+from standout.llm.common import fingerprint, stored, table
 from standout.llm.components import components
 from standout.llm.near_copies import shape_roots, sketches, text_mark
 
@@ -19,7 +19,6 @@ SHINGLE = 3
 DISTANCE = 2
 SEGMENTS = 7
 PAIRWISE = 64
-_SLICE = 65536
 
 
 def simhash(text: str | None, width: int = SHINGLE) -> int:
@@ -32,12 +31,7 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
         whole = [hashed(b" ".join(words), SEED)]
     else:
         whole = [hashed(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(width)))]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(whole), _SLICE):
-        part = np.array(whole[at : at + _SLICE], np.uint64)
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(whole), bitorder="little").view("<u8")[0])
+    return fingerprint(np.array(whole, np.uint64))
 
 
 @F.pandas_udf(T.LongType())
@@ -150,11 +144,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that of the least doc_id, then of the least hash of the text.
 
-    Documents are linked if their five-word shingles have a Jaccard similarity of 0.8 or more; texts without words are alike.
+    Documents are linked if their five-word shingles have a Jaccard similarity of 0.8 or more; texts without words are alike. Pairs
+    come from SimHash fingerprints of these shingles by ``near_pairs``, then, as alike sets also differ in more bits, from shared
+    shingles; each pair is checked exactly.
     Rows without a doc_id stay only where a component has no other. Of repeated rows one stays. All columns are kept.
     """
     marked = stored(sketches(docs), "near-sketches")
-    named = marked.join(shape_roots(docs, marked), "shape", "left").withColumn("root", F.coalesce("root", "shape"))
+    named = marked.join(shape_roots(docs, marked, near_pairs), "shape", "left").withColumn("root", F.coalesce("root", "shape"))
     one = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     kept = named.groupBy("root").agg(F.min(one).alias("one")).select("one.doc_id", "one.mark").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_mark().alias("text_mark"))
