@@ -13,7 +13,7 @@ import pytest
 from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
-from standout.llm import catalog, common, components, fingerprints, language, mixing, neighbours, packing, pii, scoring, simhash, substrings, warc
+from standout.llm import catalog, common, components, fingerprints, language, mixing, near_copies, neighbours, packing, pii, scoring, simhash, substrings, warc
 
 catalog.load()
 SF = "/root/testdata/sf0.001"
@@ -132,6 +132,32 @@ def test_one_large_family_of_variants(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()} == want
 
 
+def test_variants_that_are_apart_are_not_all_compared(spark, monkeypatch):
+    """Variants too far from the original are paired only where they share changed shingles."""
+    rng = random.Random(5)
+    words, texts, compared = sentence(rng, 200).split(), [], []
+    for _ in range(300):
+        own = list(words)
+        for at in rng.sample(range(200), 7):
+            own[at] = f"w{rng.randrange(20)}"
+        texts.append(" ".join(own))
+    alike = near_copies.alike
+    monkeypatch.setattr(near_copies, "alike", lambda pairs, sets: compared.append(pairs.count()) or alike(pairs, sets))
+    left = simhash.one_of_each(documents(spark, texts + [" ".join(words)])).count()
+    assert left > 200 and sum(compared) < 10 * len(texts)
+
+
+def test_near_copies_come_from_fingerprints_first(spark):
+    rows = [(1, 0b1011), (2, 0b1011), (3, 0b1000), (4, 0b0111 << 20)]
+    pairs = near_copies.by_fingerprint(spark.createDataFrame(rows, "shape long, bits long"), simhash.near_pairs)
+    assert {frozenset(p) for p in pairs.collect()} == {frozenset((1, 2)), frozenset((1, 3))}
+    texts = [sentence(random.Random(1), 30), sentence(random.Random(2), 3), "one"]
+    for text in texts:
+        found = near_copies.shingle_set(text)
+        bits = [sum(int(x) >> i & 1 for x in found) * 2 > len(found) for i in range(64)]
+        assert common.fingerprint(found) == sum(b << i for i, b in enumerate(bits))
+
+
 def test_texts_of_equal_crc_and_clashing_columns(spark):
     assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
     schema = "doc_id long, text string, mark string, shape long, id int, text_mark string, row int, _mark string"
@@ -218,6 +244,33 @@ def test_common_passage_in_many_contexts(spark):
     assert len(got) < 20 * len(texts)
 
 
+@pytest.mark.parametrize("words, changes, documents_", [(55, 1, 80), (80, 2, 60)])
+def test_templates_in_many_contexts(spark, monkeypatch, words, changes, documents_):
+    """A template with changed words has many contexts that differ on both sides of a minimum: as many links as if all were paired."""
+    rng = random.Random(words)
+    template, texts = sentence(rng, words).split(), []
+    for k in range(documents_):
+        own = list(template)
+        for at in rng.sample(range(words), changes):
+            own[at] = f"w{k}x{at}"
+        texts.append(" ".join(own))
+    got = {(r["doc_id"], r["match_doc_id"]) for r in substrings.repeated_passages(documents(spark, texts)).collect()}
+    monkeypatch.setattr(substrings, "CONTEXTS", 10**6)
+    want = {(r["doc_id"], r["match_doc_id"]) for r in substrings.repeated_passages(documents(spark, texts)).collect()}
+    assert len(want) > 3 * len(texts) and len(want - got) <= len(want) // 100  # a slack place may tip a passage at the threshold
+
+
+def test_contexts_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = sentence(rng, 60)
+    docs = documents(spark, [f"{sentence(rng, 30)} {passage} {sentence(rng, 30)}" for _ in range(30)] + [sentence(rng, 90)])
+    lots = substrings.windows(docs).select("value", "doc_id", "at", "low", "high")
+    whole = sorted(map(tuple, substrings.alike_contexts(lots, docs).collect()))
+    assert len({(a[0], b[0]) for _, a, b in whole}) == 30 * 29 // 2
+    monkeypatch.setattr(substrings, "BLOCK", 7)
+    assert sorted(map(tuple, substrings.alike_contexts(lots, docs).collect())) == whole
+
+
 def test_samples_estimate_generalised_jaccard():
     rng = random.Random(2)
     near, exact = [], []
