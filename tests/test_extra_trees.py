@@ -67,3 +67,21 @@ def test_edges(spark, rows):
     assert flat.nodes.count() == 2 and {r["estimate"] for r in flat.transform(rows).collect()} == {2.0}
     with pytest.raises(ValueError):
         extra_trees.train_extra_trees(rows, NAMES, numTrees=50, maxDepth=16)
+
+
+def test_tasks_send_one_row_for_a_node_and_gaps_have_sides(spark, rows):
+    model = extra_trees.train_extra_trees(rows, ["a"], numTrees=3, maxDepth=1)
+    root = {n["tree"]: n for n in model.nodes.where("node = 0").collect()}
+    leaves = {(n["tree"], n["node"]): n["value"] for n in model.nodes.collect()}
+    odd = spark.createDataFrame([(1, None), (2, float("nan"))], "id int, a double")
+    left, right = (r["estimate"] for r in model.transform(odd).orderBy("id").collect())
+    assert left == pytest.approx(sum(leaves[t, root[t]["left"]] for t in root) / 3)
+    assert right == pytest.approx(sum(leaves[t, root[t]["left"] + 1] for t in root) / 3)
+    times = F.array(*[F.lit(k).cast("tinyint") for k in (1, 0, 2)])
+    held = rows.select(F.col("a").alias("x0"), F.col("grade").alias("y"), F.lit(1).alias("key"), times.alias("times")).repartition(2)
+    sums = extra_trees._node_sums(held, model.nodes.where("node = 0"), 1, 0)
+    assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+    found = {r["tree"]: r for r in sums.collect()}
+    whole = rows.agg(F.sum("grade").alias("s"), F.min("a").alias("lo"), F.max("a").alias("hi")).first()
+    assert {t: r["n"] for t, r in found.items()} == {0: 400.0, 2: 800.0} and found[2]["s"] == pytest.approx(2 * whole["s"])
+    assert found[0]["ends"][0] == (whole["lo"], whole["hi"])
