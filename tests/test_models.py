@@ -25,3 +25,20 @@ def test_fourier_features_separate_rings(spark, tmp_path):
     waves.save(str(tmp_path / "model"))
     again = PipelineModel.load(str(tmp_path / "model"))
     assert _hits(again, rows) == _hits(waves, rows)
+
+
+def test_waves_are_one_vector_and_a_null_gives_no_number(spark):
+    rows = spark.createDataFrame([(float(i % 7), float(i * i % 11), 2.0, i % 2) for i in range(40)], "a double, b double, same double, y int")
+    model = models.train_candidate_classifier(rows, ["a", "b", "same"], components=4, negative_weight=1.0, maxIter=1)
+    stage = model.stages[0]
+    out = model.transform(rows)
+    assert set(out.columns) - set(rows.columns) == {"features", "rawPrediction", "estimate"}  # no column for each wave
+    table = rows.collect()
+    means = [sum(r[n] for r in table) / 40 for n in "ab"]
+    stds = [math.sqrt(sum((r[n] - m) ** 2 for r in table) / 40) for n, m in zip("ab", means)]
+    values = stage.getOrDefault("rows")
+    for r in out.collect():
+        turns = [values[k] + sum(values[4 * (i + 1) + k] * (r[n] - means[i]) / stds[i] for i, n in enumerate("ab")) for k in range(4)]
+        assert max(abs(math.sqrt(0.5) * math.cos(t) - v) for t, v in zip(turns, r["features"])) < 1e-9
+    empty = spark.createDataFrame([(None, 1.0, 2.0)], "a double, b double, same double")
+    assert all(math.isnan(v) for v in stage.transform(empty).first()["features"])
