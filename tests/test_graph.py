@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from standout.functions import paths
 from standout.operators import graph, kb
 
 
@@ -175,11 +176,64 @@ def test_measures_of_a_documents_graphs_are_those_of_the_edges(spark, monkeypatc
         assert (row[f"{r['variant']}_node_degree"], row[f"{r['variant']}_farness"]) == (r["degree"], r["farness"])
         assert row[f"{r['variant']}_closeness"] == pytest.approx(r["closeness"])
         assert [row[f"{r['variant']}_{c}"] for c in list(whole.asDict())[2:]] == pytest.approx(list(whole)[2:])
+    assert table_of(graph.document_degrees(candidates, links)) == table_of(graph.node_degree(edges))
+    assert table_of(graph.document_sizes(candidates, links)) == table_of(graph.graph_size(edges))
+    assert table_of(graph.document_ratios(candidates, links)) == table_of(graph.degree_ratios(edges))
     together = table_of(graph.document_farness(candidates, links))
     monkeypatch.setattr(graph, "MOST_SENT", 3)  # links that are not sent to the tasks
     assert table_of(graph.document_farness(candidates, links)) == together
 
 
+def test_links_of_a_document_are_looked_up_in_its_task(spark, monkeypatch):
+    candidates, links = random_documents(spark)
+    candidates = candidates.unionByName(spark.createDataFrame([(1, None), (None, 3), (200, -4), (201, 10**15)], candidates.schema))
+    joined = []
+    monkeypatch.setattr(graph, "_document_links", lambda *x, was=graph._document_links: joined.append(1) or was(*x))
+    want = table_of(graph.document_links(candidates, links))
+
+    def rows(src, dst, both, kept):
+        yield [src, dst, both.astype(np.int8), kept.astype(np.int8)]
+
+    def found():
+        got = graph.of_documents(candidates, links, rows, "src long, dst long, both byte, kept byte")
+        return sorted((d, a, b, bool(x), bool(y)) for d, a, b, x, y in got.collect())
+
+    joined.clear()
+    assert found() == want and not joined
+    monkeypatch.setattr(graph, "MOST_SENT", 3)
+    assert found() == want and joined
+
+
+def test_degrees_of_a_document(spark):
+    candidates = spark.createDataFrame([(1, 10), (1, 20)], "doc_id long, entity_id long")
+    links = links_of(spark, [(10, 20), (20, 30), (1 << 40, 10)])
+    some = {(r["node"], r["variant"]): r["degree"] for r in graph.document_degrees(candidates, links).collect()}
+    assert some[20, "v1"] == 3 and some[1 << 40, "v1"] == 1 and some[10, "v0"] == 1
+    assert graph.document_sizes(candidates, links.where("src < 0")).count() == 0
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (4, 3), (9, 8), (12, 40), (40, 39), (60, 400)])
+def test_centralities_from_covering_nodes_are_those_of_the_edges(n, m):
+    rng = np.random.default_rng(n + m)
+    for _ in range(40):
+        _, s, t = paths.indexed(rng.integers(0, n, m), rng.integers(0, n, m) % max(1, n // 3))
+        a, b = paths.neighbours(s, t, nodes := max(s.max(), t.max()) + 1)
+        a, b = a[a != b], b[a != b]
+        cover = paths.covering(a, b, nodes, nodes)
+        assert set(a[~np.isin(b, cover)]) <= set(cover.tolist())
+        for x, y in zip(paths._by_cover(a, b, nodes, cover), paths._by_edges(a, b, nodes)):
+            assert np.allclose(x, y, atol=1e-9)
+
+
+def test_a_graph_of_two_sides_settles_soon():
+    hubs = np.repeat(np.arange(6), 300)
+    _, s, t = paths.indexed(hubs, 6 + np.arange(1800) % 301)
+    a, b = paths.neighbours(s, t, 307)
+    x = paths.leading(a, b, 307, 1e-12, 60)  # without a shift by the degrees it takes hundreds of rounds
+    image = np.bincount(a, x[b], 307)
+    assert np.abs(image - (image @ x) * x).max() < 1e-9
+
+
 def test_measures_shuffle_no_edges(spark):
     candidates, links = random_documents(spark)
     rows = graph.document_links(candidates.repartition(4, "doc_id"), links)
