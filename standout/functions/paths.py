@@ -393,6 +393,20 @@ def variants(src: np.ndarray, dst: np.ndarray, both: np.ndarray, kept: np.ndarra
             yield code, tail[pick], head[pick], (one + both if code < 2 else one)[pick]
 
 
+def some(codes: list[int]) -> Callable[..., Iterator[tuple]]:
+    """``variants`` with these numbers only."""
+
+    def chosen(*columns: np.ndarray) -> Iterator[tuple]:
+        return (graph for graph in variants(*columns) if graph[0] in codes)
+
+    return chosen
+
+
+def edges(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> Iterator[Arrays]:
+    """The edges themselves."""
+    yield [src, dst, w]
+
+
 def each(graphs: Iterator[tuple], measure: Callable[..., Iterator[Arrays]]) -> Iterator[Arrays]:
     """The rows of a measure of each graph, with its number in front."""
     for code, src, dst, w in graphs:
@@ -528,3 +542,26 @@ def entity_links(node: np.ndarray, kind: np.ndarray, index: Callable[[], Arrays]
     alone = np.flatnonzero(alone)
     src, dst = np.concatenate([src, alone]), np.concatenate([dst, alone])
     yield [nodes[src], nodes[dst], kinds[src], kinds[dst]]
+
+
+def pairs_met(batches: Iterator[pa.RecordBatch], index: Callable[[], Arrays]) -> Iterator[pa.RecordBatch]:
+    """``a, b``: the different edges of the expanded and the induced graphs of a task's documents; rows are a document and a candidate."""
+    known = index()
+    nodes, out, into = known[0], known[1:4], known[4:]
+    left, entered, within = (np.zeros(len(x[1]), bool) for x in (out, into, out))
+    for _, (own,) in documents(batches):
+        at = places(own, nodes)
+        at = at[at >= 0]
+        member = np.zeros(len(nodes), bool)
+        member[at] = True
+        for (begin, other, _), seen, both in ((out, left, within), (into, entered, None)):
+            sizes = begin[at + 1] - begin[at]
+            place = np.arange(sizes.sum()) + np.repeat(begin[at] - np.cumsum(sizes) + sizes, sizes)
+            seen[place] = True
+            if both is not None:
+                both[place[member[other[place]]]] = True
+    ends = [(np.repeat(np.arange(len(nodes)), np.diff(x[0])), x[1]) for x in (out, into)]
+    (src, dst), (target, source) = ends
+    a = np.concatenate([dst[left], target[entered], src[within]])
+    b = np.concatenate([src[left], source[entered], dst[within]])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], ["a", "b"])

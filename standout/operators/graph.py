@@ -253,8 +253,13 @@ def of_documents(candidates: DataFrame, links: DataFrame, solve: Callable, colum
     if index is None:
         return by_document(_document_links(candidates, arcs), solve, columns)
     ends = [k for k, c in enumerate(_typed(columns)[0]) if c in NODES]
-    known = _chosen(candidates.where("doc_id IS NOT NULL")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("entity_id").cast("long").alias("own"))
-    return by_document(known, partial(paths.of_candidates, index=index, solve=solve, ends=ends), columns)
+    return by_document(_own(candidates), partial(paths.of_candidates, index=index, solve=solve, ends=ends), columns)
+
+
+def _own(candidates: DataFrame) -> DataFrame:
+    """``doc_id, own``: a document's different candidates one after the other."""
+    rows = _chosen(candidates.where("doc_id IS NOT NULL"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("entity_id").cast("long").alias("own"))
 
 
 def _index(arcs: DataFrame) -> Callable | None:
@@ -275,10 +280,35 @@ def _measured(candidates: DataFrame, links: DataFrame, measure: Callable, column
     """``doc_id, variant`` and the columns of a measure of the four graphs of each document."""
     solve = paths.measured(paths.variants, partial(paths.each, measure=measure))
     rows = of_documents(candidates, links, solve, f"code byte, {columns}")
+    return _named(rows)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """The name of the variant instead of its number ``code``."""
     variant = F.element_at(F.array(*[F.lit(v) for v in VARIANTS]), F.col("code") + 1).alias("variant")
     return rows.select("doc_id", variant, *rows.columns[2:])
 
 
+def document_edges(candidates: DataFrame, links: DataFrame, wanted: Sequence[str] = tuple(VARIANTS)) -> DataFrame:
+    """The wanted graphs of ``all_variants`` as one edge table."""
+    solve = paths.measured(paths.some([VARIANTS.index(v) for v in wanted]), partial(paths.each, measure=paths.edges))
+    return _named(of_documents(candidates, links, solve, "code byte, src long, dst long, w long"))
+
+
+def document_pairs(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """``a, b`` of the edges of all expanded and induced graphs, for ``relatedness``. A task gives each pair that its documents have once."""
+    index = _index(links.select("src", "dst").distinct().withColumn("kept", F.lit(False)))
+    if index is None:
+        both = expand_graph_v1(candidates, links).unionByName(induced_graph_v0(candidates, links))
+        return both.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    run = partial(paths.pairs_met, index=index)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batches)
+
+    return _own(candidates).mapInArrow(met, "a long, b long")
+
+
 def document_degrees(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """``node_degree`` of the four graphs of each document."""
     return _measured(candidates, links, paths.degrees, "node long, in_degree long, out_degree long, degree long")

@@ -179,6 +179,9 @@ def test_measures_of_a_documents_graphs_are_those_of_the_edges(spark, monkeypatc
     assert table_of(graph.document_degrees(candidates, links)) == table_of(graph.node_degree(edges))
     assert table_of(graph.document_sizes(candidates, links)) == table_of(graph.graph_size(edges))
     assert table_of(graph.document_ratios(candidates, links)) == table_of(graph.degree_ratios(edges))
+    low = [v for v in graph.VARIANTS if "low" in v]
+    assert table_of(graph.document_edges(candidates, links)) == table_of(edges)
+    assert table_of(graph.document_edges(candidates, links, low)) == table_of(edges.where("variant LIKE '%low%'"))
     together = table_of(graph.document_farness(candidates, links))
     monkeypatch.setattr(graph, "MOST_SENT", 3)  # links that are not sent to the tasks
     assert table_of(graph.document_farness(candidates, links)) == together
@@ -204,6 +207,17 @@ def test_links_of_a_document_are_looked_up_in_its_task(spark, monkeypatch):
     assert found() == want and joined
 
 
+def test_a_task_gives_each_pair_of_its_documents_once(spark, monkeypatch):
+    candidates, links = random_documents(spark)
+    edges = graph.expand_graph_v1(candidates, links).unionByName(graph.induced_graph_v0(candidates, links))
+    want = table_of(edges.select("src", "dst").distinct())
+    pairs = graph.document_pairs(candidates.coalesce(1), links.coalesce(1))
+    tasks = pairs.rdd.getNumPartitions()
+    assert table_of(pairs.distinct()) == want and pairs.count() <= 3 * tasks * links.distinct().count() and pairs.count() < edges.count()
+    monkeypatch.setattr(graph, "MOST_SENT", 3)
+    assert table_of(graph.document_pairs(candidates, links).distinct()) == want
+
+
 def test_degrees_of_a_document(spark):
     candidates = spark.createDataFrame([(1, 10), (1, 20)], "doc_id long, entity_id long")
     links = links_of(spark, [(10, 20), (20, 30), (1 << 40, 10)])
